@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quillspark.plans import documents, operations, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**documents.QUERIES, **search.QUERIES, **operations.QUERIES}
+SQL: dict[str, str] = {**documents.SQL, **search.SQL, **operations.SQL}
