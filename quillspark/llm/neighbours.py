@@ -256,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = K, trees: int = TREES, extra: int = EXT
     )
     found = _visits(roles, forest, extra).groupBy("leaf", "block").applyInArrow(_ranker(k), "vid long, other array<long>, far array<float>")
     real = F.filter(F.flatten(F.collect_list("pairs")), lambda p: p.far < 1.5)
-    merged = (
+    merged = cut_lineage(  # read twice below; the search itself must run once
         found.select("vid", F.arrays_zip("far", "other").alias("pairs"))
         .groupBy("vid")
         .agg(F.slice(F.array_sort(F.array_distinct(real)), 1, k).alias("near"))
