@@ -121,15 +121,17 @@ def ranked_lists(candidates: DataFrame) -> DataFrame:
     return long.withColumn("rank0", F.row_number().over(order) - 1)
 
 
-def fuse(lists: DataFrame, settings: Settings = Settings(), lists_k: int | None = None) -> DataFrame:
+def fuse(lists: DataFrame, settings: Settings = Settings(), lists_k: int | None = None, compat: bool = False) -> DataFrame:
     """(query_id, chunk_id, rrf, dense_score, rank): reciprocal-rank fusion of the first ``candidate_k`` of each list.
 
     The first of a list contributes 1 / rrf_k. ``dense_score`` is null for a chunk that only the lexical list has.
+    With ``compat`` the lists do not meet, as where their chunks are keyed by differently stored texts: a chunk
+    of both lists comes out twice.
     """
     k = lists_k or settings.candidate_k
     fused = (
         lists.filter(F.col("rank0") < k)
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", "chunk_id", *(["list"] if compat else []))
         .agg(
             F.sum(F.lit(1.0) / (F.col("rank0") + settings.rrf_k)).alias("rrf"),
             F.max(F.when(F.col("list") == "dense", F.col("score"))).alias("dense_score"),
@@ -137,7 +139,7 @@ def fuse(lists: DataFrame, settings: Settings = Settings(), lists_k: int | None
         )
     )
     order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), "_seen", "chunk_id")
-    return fused.withColumn("rank", F.row_number().over(order)).drop("_seen")
+    return fused.withColumn("rank", F.row_number().over(order)).drop("_seen", "list")
 
 
 def passes(fused: DataFrame, settings: Settings = Settings()) -> DataFrame:

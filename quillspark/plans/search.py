@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import Settings
+from quillspark.functions import models
 from quillspark.functions import text as T
 from quillspark.functions import vector as V
 from quillspark.operators import index, layout, retrieval
 from quillspark.plans import sql
 from quillspark.plans.documents import chunk_table
+from quillspark.session import cut_lineage
 from quillspark.sources.tables import table
 
 #: Asked are the rows whose id this divides, against all rows.
@@ -140,10 +142,47 @@ def chunk_cards(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("query_id", "rank", F.format_string("Chunk %d — %s", "rank", name).alias("heading"), T.score_color(F.col("score")).alias("color"))
 
 
+def _chunk_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Child windows with a numeric id, for the vector search."""
+    return chunk_table(spark, folder).select((F.col("doc_id") * 100_000 + F.col("child_no")).alias("vec_id"), "chunk_id", "doc_id", F.col("child").alias("text"))
+
+
+def text_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the prefixed child windows by the offline embedder."""
+    prefixed = F.concat(F.lit(Settings().passage_prefix), F.col("text"))
+    return _chunk_numbers(spark, folder).select("vec_id", "chunk_id", models.hashing_embedder()(prefixed).alias("embedding"))
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole pipeline for every asked question: embed, dense and lexical search, fusion, filter, MMR, rerank, parents, prompt."""
+    settings = Settings(min_score=0.05, passage_prefix="", query_prefix="")  # the stand-in counts shared words, prefixes too
+    embed = models.hashing_embedder()
+    chunks = _chunk_numbers(spark, folder)
+    asked = questions(spark, folder)
+    vectors = cut_lineage(chunks.withColumn("embedding", embed(F.concat(F.lit(settings.passage_prefix), F.col("text")))))
+    asking = asked.select((-F.col("query_id") - 1).alias("vec_id"), embed(F.concat(F.lit(settings.query_prefix), F.col("question"))).alias("embedding"))
+    dense = retrieval.nearest(asking, vectors, settings.candidate_k).select((-F.col("query_id") - 1).alias("query_id"), "vec_id", F.col("score").alias("dense_score"))
+    lexical = retrieval.bm25(asked, *_index(spark, folder), k=settings.candidate_k)
+    ids = vectors.select("vec_id", "chunk_id")
+    hits = dense.join(ids, "vec_id").select("query_id", "chunk_id", "dense_score", F.lit(None).cast("double").alias("lexical_score")).unionByName(
+        lexical.select("query_id", "chunk_id", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("lexical_score"))
+    )
+    kept = retrieval.passes(retrieval.fuse(retrieval.ranked_lists(hits), settings), settings)
+    with_text = kept.join(vectors.select("chunk_id", "doc_id", "text", "embedding"), "chunk_id")
+    varied = retrieval.mmr(with_text.select(F.col("query_id").cast("string").alias("query_id"), "chunk_id", F.col("dense_score").alias("relevance"), "embedding"), settings)
+    pairs = (
+        varied.select(F.col("query_id").cast("long").alias("query_id"), "chunk_id")
+        .join(with_text.select("query_id", "chunk_id", "doc_id", "text"), ["query_id", "chunk_id"])
+        .join(asked, "query_id")
+    )
+    ranked = retrieval.rerank(pairs, settings).select("query_id", "question", "rank", "doc_id")
+    return retrieval.prompts(retrieval.with_parents(ranked, table(spark, folder, "documents", "doc_id", "text"), ["doc_id"]), dedup_parents=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, doc_stats, bm25_topk, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
+        text_embeddings, answers, term_stats, doc_stats, bm25_topk, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
         candidate_vectors, rerank_overlap, parent_substitution, context_prompt, chunk_cards,
     )
 }

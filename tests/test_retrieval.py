@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import Settings
+from quillspark.functions import models
 from quillspark.functions import vector as V
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
@@ -28,6 +29,19 @@ def test_score_filter_keeps_equality(spark):
     assert {r.chunk_id for r in R.passes(fused, Settings(min_score=0.3, keep_lexical_only=True)).collect()} == {"x", "y", "z"}
 
 
+def test_lists_that_do_not_meet(spark):
+    fused = R.fuse(golden(spark), compat=True)
+    assert fused.count() == 4
+    kept = {r.chunk_id: round(r.rrf, 9) for r in R.passes(fused, Settings(min_score=0.3)).collect()}
+    assert kept == {"x": round(1 / 60, 9), "y": round(1 / 61, 9)}
+
+
+def test_hashing_embedder(spark):
+    df = spark.createDataFrame([(1, "red fox"), (2, "fox red"), (3, ""), (4, None)], "n int, t string")
+    got = {r.n: r.v for r in df.select("n", models.hashing_embedder()(F.col("t")).alias("v")).collect()}
+    assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[3] is None and got[4] is None
+
+
 def test_mmr_golden(spark):
     rows = [("q", "a", 0.9, [1.0, 0.0]), ("q", "b", 0.8, [1.0, 0.0]), ("q", "c", 0.5, [0.0, 1.0]), ("q", "n", None, [1.0, 1.0]), ("q", "m", 0.7, None), ("z", "only", 0.1, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "query_id string, chunk_id string, relevance double, embedding array<float>")
