@@ -20,13 +20,17 @@ PROMPT_CITE = "Cite the document section when available.\n"
 PROMPT_UNKNOWN = "If the answer cannot be determined from the context, say \"I don't know based on the provided context.\"\n"
 
 
+#: Unicode white space as a class of its own, which Java tests much faster than its Unicode flag.
+BLANK = r"[\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def trim_all(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
 
 
 def trim_left(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.regexp_replace(c, rf"^{BLANK}+", "")
 
 
 def is_blank(c: Column) -> Column:
@@ -36,7 +40,7 @@ def is_blank(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Parts between Unicode white space, case kept; none for a null or blank text."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(c, F.lit("")), rf"{BLANK}+"), lambda t: t != "")
 
 
 def text_lines(c: Column) -> Column:

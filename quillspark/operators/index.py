@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, dl, term, tf): the term counts of every chunk with its length.
+    """(key, dl, term, tf): the term counts of every chunk with its length, a narrow map in Arrow batches.
 
     A chunk is expected once per key. Chunks without terms have no postings but count in ``corpus_size``.
     """
-    terms = chunks.select(key, T.tokens(F.col(text)).alias("terms"))
-    each = terms.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return each.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lengths, terms, counts = [], [], [], []
+            for i, words in enumerate(batch.column(1).to_pylist()):
+                own = Counter(words)
+                rows += [i] * len(own)
+                lengths += [len(words)] * len(own)
+                terms += own.keys()
+                counts += own.values()
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "dl", "term", "tf"])
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return chunks.select(key, T.tokens(F.col(text)).alias("terms")).mapInArrow(run, f"{key} {kind}, dl int, term string, tf int")
 
 
 def corpus_size(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -30,7 +47,7 @@ def term_stats(posted: DataFrame, size: DataFrame) -> DataFrame:
 
     The mean runs over all terms, the negative ones included.
     """
-    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = cut_lineage(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # read twice; the texts only once
     raw = counts.crossJoin(F.broadcast(size.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))

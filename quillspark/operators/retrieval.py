@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from quillspark.operators import index
 
 #: Query vectors of one block of an exact search, and stored vectors compared with them at once.
 QUERY_ROWS, SLICE = 4_000, 1_000
+#: Questions of one block of a lexical scan.
+QUESTION_ROWS = 500
 
 
 def top(df: DataFrame, group: str, k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -42,6 +47,67 @@ def bm25(questions: DataFrame, posted: DataFrame, size: DataFrame, stats: DataFr
     return top(scored, "query_id", k, F.round("score", 9).desc(), F.col(key))
 
 
+def bm25_scan(questions: DataFrame, chunks: DataFrame, size: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """The same rows as ``bm25`` for a large stated set of questions, in one pass over the chunk texts per block of questions.
+
+    Where many questions share frequent terms a join makes a row for every question and chunk; here each partition
+    scores its chunks against all questions of a block at once and keeps its ``k`` best, so only those are shuffled.
+    """
+    asked = questions.select("query_id", T.tokens(F.col("question")).alias("terms")).filter(F.size("terms") > 0)
+    blocks = max(1, -(-asked.count() // QUESTION_ROWS))
+    average = size.first().avgdl or 1.0
+    out = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = part.collect()
+        used = part.select(F.explode("terms").alias("term")).distinct()
+        idf = {r.term: r.idf for r in stats.join(F.broadcast(used), "term").select("term", "idf").collect()}
+        found = _score(chunks, [r.query_id for r in rows], [r.terms for r in rows], idf, average, k, key, asked)
+        out = found if out is None else out.unionByName(found)
+    return top(out, "query_id", k, F.round("score", 9).desc(), F.col(key))
+
+
+def _score(chunks: DataFrame, ids: list, terms: list[list[str]], idf: dict[str, float], average: float, k: int, key: str, asked: DataFrame) -> DataFrame:
+    place = {t: i for i, t in enumerate(sorted(idf))}
+    weights = np.zeros((len(place), len(ids)))
+    for q, words in enumerate(terms):
+        for w in words:
+            if w in place:
+                weights[place[w], q] += idf[w]
+    shared = chunks.sparkSession.sparkContext.broadcast((place, weights))
+    kinds = asked.schema["query_id"].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, weights = shared.value
+        signs = (weights != 0).astype(np.float64) if (weights < 0).any() else None
+        step = max(50, 2_000_000 // max(1, len(place)))
+        best_keys, best = np.zeros((len(ids), k), "U1"), np.full((len(ids), k), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                lists = part.column(1)
+                sizes = np.asarray(lists.value_lengths())
+                at_term = np.fromiter((place.get(t, -1) for t in lists.flatten().to_pylist()), np.int64, int(sizes.sum()))
+                owner = np.repeat(np.arange(len(sizes)), sizes)[at_term >= 0]
+                if not len(owner) or not len(ids):
+                    continue
+                tf = np.bincount(owner * len(place) + at_term[at_term >= 0], minlength=len(sizes) * len(place)).reshape(len(sizes), -1).astype(np.float64)
+                tf *= (index.K1 + 1) / (tf + index.K1 * (1 - index.B + index.B * sizes[:, None] / average))
+                value = (tf @ weights).T
+                shares = value != 0 if signs is None else ((tf > 0).astype(np.float64) @ signs).T > 0
+                value = np.where(shares, value, -np.inf)
+                keys = np.broadcast_to(np.asarray(part.column(0).to_pylist()), value.shape)
+                best_keys, best = _best(np.hstack([best_keys, keys]), np.hstack([best, value]), k)
+        keep = np.isfinite(best).ravel()
+        owners = np.repeat(np.arange(len(ids)), k)[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([ids[i] for i in owners]), pa.array(best_keys.ravel()[keep].tolist()), pa.array(best.ravel()[keep])], names=["query_id", key, "score"]
+        )
+
+    read = chunks.select(key, T.tokens(F.col("text")).alias("terms"))
+    return read.mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, score: str = "cosine", min_score: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): exact search of every query vector against all stored vectors but its own.
 
@@ -60,21 +126,22 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, score: str = "cosine
         matrix = np.stack([np.asarray(v.values, np.float64) for v in rows["query_vector"]]) if len(ids) else np.empty((0, 1))
         found = _scan(stored, ids, matrix, k, score)
         out = found if out is None else out.unionByName(found)
-    ranked = top(out, "query_id", k, F.col("score").desc(), F.col("vec_id"))
+    ranked = top(out, "query_id", k, F.round("score", 9).desc(), F.col("vec_id"))
     return ranked if min_score is None else ranked.filter(F.col("score") >= min_score)
 
 
 def _best(ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` highest values of each row, smaller ids first on ties; missing places have -inf."""
+    """The ``k`` highest values of each row, to 9 decimals, smaller ids first on ties; missing places have -inf."""
     n, m = values.shape
-    floor = np.partition(values, m - k, axis=1)[:, m - k] if m > k else np.full(n, -np.inf)
-    row, column = np.nonzero((values >= floor[:, None]) & np.isfinite(values))
+    rounded = np.round(values, 9)
+    floor = np.partition(rounded, m - k, axis=1)[:, m - k] if m > k else np.full(n, -np.inf)
+    row, column = np.nonzero((rounded >= floor[:, None]) & np.isfinite(values))
     value, vid = values[row, column], ids[row, column]
-    order = np.lexsort((vid, -value, row))
+    order = np.lexsort((vid, -rounded[row, column], row))
     row, value, vid = row[order], value[order], vid[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     use = place < k
-    out_ids, out_values = np.zeros((n, k), np.int64), np.full((n, k), -np.inf)
+    out_ids, out_values = np.zeros((n, k), ids.dtype), np.full((n, k), -np.inf)
     out_ids[row[use], place[use]], out_values[row[use], place[use]] = vid[use], value[use]
     return out_ids, out_values
 
@@ -98,7 +165,6 @@ def _scan(stored: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, score
                     value = np.divide(inner, both, out=np.zeros_like(inner), where=both != 0)
                 else:
                     value = 1 - (squares[:, None] + (x**2).sum(1)[None, :] - 2 * inner) / np.sqrt(2.0)
-                value = np.round(value, 9)
                 vec = part.vec_id.to_numpy()
                 value[own[:, None] == vec[None, :]] = -np.inf
                 best_ids, best = _best(np.hstack([best_ids, np.broadcast_to(vec, value.shape)]), np.hstack([best, value]), k)

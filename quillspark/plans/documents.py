@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import chunking, index, layout, platform
 from quillspark.plans import sql
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
 
 def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
     """Child windows of the documents under one chunk_id."""
-    made = chunking.child_windows(table(spark, folder, "documents", "doc_id", "text"), ["doc_id"])
+    made = chunking.child_windows(spread(table(spark, folder, "documents", "doc_id", "text")), ["doc_id"])
     return made.withColumn("chunk_id", F.concat_ws(":", "doc_id", "child_no"))
 
 
@@ -39,7 +39,7 @@ def block_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recursive_split(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.recursive_chunks(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
+    return chunking.recursive_chunks(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id")
 
 
 def paragraph_splits(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +117,7 @@ def source_font_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_table_regions(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.regions(table(spark, folder, "documents", "doc_id", "text"))
+    return layout.regions(spread(table(spark, folder, "documents", "doc_id", "text")))
 
 
 def markdown_table(spark: SparkSession, folder: str) -> DataFrame:

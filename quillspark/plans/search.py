@@ -41,8 +41,14 @@ def doc_stats(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select("chunk_id", F.size(T.tokens(F.col("child"))).alias("dl"))
 
 
+def _lexical(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    chunks = chunk_table(spark, folder).select("chunk_id", F.col("child").alias("text"))
+    _, size, stats = _index(spark, folder)
+    return retrieval.bm25_scan(asked, chunks, size, stats, k=Settings().candidate_k)
+
+
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieval.bm25(questions(spark, folder), *_index(spark, folder), k=Settings().candidate_k)
+    found = _lexical(spark, folder, questions(spark, folder))
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -53,13 +59,13 @@ def _asking(vectors: DataFrame) -> DataFrame:
 def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
     found = retrieval.nearest(_asking(vectors), vectors, k=Settings().candidate_k)
-    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return found.select("query_id", "rank", "vec_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def knn_l2_relevance(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
     found = retrieval.nearest(_asking(vectors), vectors, k=4, score="l2_relevance")
-    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return found.select("query_id", "rank", "vec_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,7 +168,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     vectors = cut_lineage(chunks.withColumn("embedding", embed(F.concat(F.lit(settings.passage_prefix), F.col("text")))))
     asking = asked.select((-F.col("query_id") - 1).alias("vec_id"), embed(F.concat(F.lit(settings.query_prefix), F.col("question"))).alias("embedding"))
     dense = retrieval.nearest(asking, vectors, settings.candidate_k).select((-F.col("query_id") - 1).alias("query_id"), "vec_id", F.col("score").alias("dense_score"))
-    lexical = retrieval.bm25(asked, *_index(spark, folder), k=settings.candidate_k)
+    lexical = _lexical(spark, folder, asked)
     ids = vectors.select("vec_id", "chunk_id")
     hits = dense.join(ids, "vec_id").select("query_id", "chunk_id", "dense_score", F.lit(None).cast("double").alias("lexical_score")).unionByName(
         lexical.select("query_id", "chunk_id", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("lexical_score"))

@@ -9,3 +9,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Table ``name`` of ``folder``; with ``columns``, only those, so the scan reads no others."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores dealt out over all of them; a larger one as it is.
+
+    Small tables come as one split, which would leave heavy row-wise work to one core. A table of the size the
+    cluster is made for has splits enough and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,8 @@ from quillspark.functions import models
 from quillspark.functions import vector as V
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
+from quillspark.plans.documents import chunk_table
+from quillspark.plans.search import questions
 
 
 def lists(spark, rows):
@@ -60,6 +62,20 @@ def test_bm25_golden(spark):
     asked = spark.createDataFrame([("q", "a b"), ("none", "zzz"), ("blank", " "), ("null", None)], "query_id string, question string")
     got = {r.chunk_id: round(r.score, 6) for r in R.bm25(asked, posted, size, stats, 5).collect()}
     assert got == {"d1": 0.587449, "d2": 0.076624}
+    again = {r.chunk_id: round(r.score, 6) for r in R.bm25_scan(asked, chunks, size, stats, 5).collect()}
+    assert again == got
+
+
+def test_bm25_scan_equals_the_join(spark, data, monkeypatch):
+    chunks = chunk_table(spark, data).select("chunk_id", F.col("child").alias("text"))
+    size, posted = I.corpus_size(chunks), I.postings(chunks)
+    stats = I.term_stats(posted, size)
+    asked = questions(spark, data)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    want = rows(R.bm25(asked, posted, size, stats, 6))
+    monkeypatch.setattr(R, "QUESTION_ROWS", 7)
+    assert rows(R.bm25_scan(asked, chunks, size, stats, 6)) == want and want
+    assert R.bm25_scan(asked.limit(0), chunks, size, stats, 6).count() == 0
 
 
 @pytest.mark.parametrize(("a", "b", "cos", "rel"), [([1.0, 0.0], [1.0, 0.0], 1.0, 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0, -0.414214), ([0.0, 0.0], [1.0, 0.0], 0.0, 0.292893)])
