@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import encode, leaks, lines, neighbours, percentiles, split, subset, truncation
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +70,7 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.encode(table(spark, folder, "documents"), vocabulary())
+    return encode.encode(spread(table(spark, folder, "documents", "doc_id", "text")), vocabulary())
 
 
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,20 +82,20 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    found = leaks.leaks(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items"))
     return found.filter(F.col("distance") == 0).select("doc_id", "item_id")
 
 
 def p7_near(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.leaks(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.cut_off(table(spark, folder, "documents", "doc_id", "text", "source"))
+    return truncation.cut_off(spread(table(spark, folder, "documents", "doc_id", "text", "source")))
 
 
 def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.cut_share(table(spark, folder, "documents", "doc_id", "text", "source"))
+    return truncation.cut_share(spread(table(spark, folder, "documents", "doc_id", "text", "source")))
 
 
 QUERIES: dict[str, Query] = {
