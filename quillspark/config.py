@@ -19,7 +19,8 @@ class Settings:
     mmr_lambda: float = 0.5
     mmr_k: int | None = None
     keep_lexical_only: bool = False
-    passage_prefix: str = "Represent this passage for searching relevant passages: "
+    # What the embedding model expects before passages and questions.
+    passage_prefix: str = "Represent this passage for retrieval: "
     query_prefix: str = "Represent this sentence for searching relevant passages: "
 
     def __post_init__(self) -> None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.chunking import running_total
 
 EDGE = 3
 HEADING_EXTRA = 2.0
@@ -38,12 +39,11 @@ def edge_lines(texts: DataFrame) -> DataFrame:
 def header_footer_lines(texts: DataFrame) -> DataFrame:
     """(source, line): lines that stand at one edge position of three pages in a row of their source.
 
-    Pages in a row are neighbours in the order of the pages a source has. The three pages are found by
-    equi-joins on (source, edge, pos, line, page rank), so no window runs over all pages of a source but the
-    ranking of the narrow page list.
+    Pages in a row are neighbours in the order of the pages a source has. Pages are numbered by a running count
+    over one range sort, and three in a row are found by an aggregate on (source, edge, pos, line, first page),
+    so no task holds all pages of a source.
     """
-    order = Window.partitionBy("source").orderBy("page_number")
-    ranks = texts.select("source", "page_number").withColumn("page_rank", F.row_number().over(order))
+    ranks = running_total(texts.select("source", "page_number", F.lit(1).alias("one")), ["source"], ["page_number"], "one", "page_rank").drop("one")
     lines = edge_lines(texts).join(ranks, ["source", "page_number"]).select("source", "edge", "pos", "line", "page_rank")
     key = ["source", "edge", "pos", "line"]
     runs = lines.select(*key, F.explode(F.array(*(F.col("page_rank") - F.lit(i) for i in range(3)))).alias("start"))

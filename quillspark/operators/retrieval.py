@@ -14,6 +14,7 @@ from quillspark.config import Settings
 from quillspark.functions import text as T
 from quillspark.functions import vector as V
 from quillspark.operators import index
+from quillspark.operators.grouped import by_group
 
 #: Query vectors of one block of an exact search, and stored vectors compared with them at once.
 QUERY_ROWS, SLICE = 4_000, 1_000
@@ -174,8 +175,8 @@ def _scan(stored: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, score
     return stored.mapInPandas(run, "query_id long, vec_id long, score double")
 
 
-def ranked_lists(candidates: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, list, score, rank0): the dense and the lexical list of every question, ranked from 0.
+def ranked_lists(candidates: DataFrame, k: int = Settings().candidate_k) -> DataFrame:
+    """(query_id, chunk_id, list, score, rank0): the first ``k`` of the dense and the lexical list of every question, ranked from 0.
 
     Dense hits have a finite dense_score; lexical hits a lexical_score. Repeated rows of a candidate count once,
     with the highest score. Ties go to the smaller chunk_id.
@@ -184,17 +185,18 @@ def ranked_lists(candidates: DataFrame) -> DataFrame:
     lists = F.explode(F.array(*(F.struct(F.lit(n).alias("list"), F.col(n).alias("score")) for n in ("dense", "lexical"))))
     long = best.select("query_id", "chunk_id", lists.alias("l")).select("query_id", "chunk_id", "l.list", "l.score").filter(F.col("score").isNotNull())
     order = Window.partitionBy("query_id", "list").orderBy(F.col("score").desc(), "chunk_id")
-    return long.withColumn("rank0", F.row_number().over(order) - 1)
+    first = long.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+    return first.withColumn("rank0", F.col("_place") - 1).drop("_place")
 
 
-def fuse(lists: DataFrame, settings: Settings = Settings(), lists_k: int | None = None, compat: bool = False) -> DataFrame:
+def fuse(lists: DataFrame, settings: Settings = Settings(), compat: bool = False) -> DataFrame:
     """(query_id, chunk_id, rrf, dense_score, rank): reciprocal-rank fusion of the first ``candidate_k`` of each list.
 
     The first of a list contributes 1 / rrf_k. ``dense_score`` is null for a chunk that only the lexical list has.
     With ``compat`` the lists do not meet, as where their chunks are keyed by differently stored texts: a chunk
     of both lists comes out twice.
     """
-    k = lists_k or settings.candidate_k
+    k = settings.candidate_k
     fused = (
         lists.filter(F.col("rank0") < k)
         .groupBy("query_id", "chunk_id", *(["list"] if compat else []))
@@ -238,19 +240,18 @@ def mmr(candidates: DataFrame, settings: Settings = Settings()) -> DataFrame:
     best = top(usable, "query_id", settings.candidate_k, F.col("relevance").desc(), F.col("chunk_id"), name="_rank")
     k, lam = settings.mmr_k or settings.candidate_k, settings.mmr_lambda
 
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank", ignore_index=True)
-        x = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
+    def select(group: pa.Table) -> list[tuple]:
+        query, ids, relevance = group["query_id"][0].as_py(), group["chunk_id"].to_pylist(), np.asarray(group["relevance"])
+        x = np.stack([np.asarray(v.values, np.float64) for v in group["embedding"]])
         norms = np.linalg.norm(x, axis=1)
         both = norms[:, None] * norms[None, :]
         inner = x @ x.T
-        order = mmr_order(pdf.relevance.to_numpy(), np.divide(inner, both, out=np.zeros_like(inner), where=both != 0), k, lam)
-        out = pdf.iloc[order][["query_id", "chunk_id", "relevance"]].copy()
-        out["mmr_pos"] = range(len(order))
-        return out
+        order = mmr_order(relevance, np.divide(inner, both, out=np.zeros_like(inner), where=both != 0), k, lam)
+        return [(query, ids[i], float(relevance[i]), n) for n, i in enumerate(order)]
 
-    columns = ["query_id", "chunk_id", "relevance", "embedding", "_rank"]
-    return best.select(*columns).groupBy("query_id").applyInPandas(select, "query_id string, chunk_id string, relevance double, mmr_pos int")
+    kinds = {"query_id": pa.string(), "chunk_id": pa.string(), "relevance": pa.float64(), "mmr_pos": pa.int32()}
+    schema = "query_id string, chunk_id string, relevance double, mmr_pos int"
+    return by_group(best.select("query_id", "chunk_id", "relevance", "embedding", "_rank"), ["query_id"], ["_rank"], select, kinds, schema)
 
 
 def overlap(question: Column, text: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.sources import artefacts, logs
 
@@ -46,6 +50,32 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return counted.select("user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "requests")
 
 
+def scale_outs(events: DataFrame, above: int, cooldown_s: int = 300) -> DataFrame:
+    """(event_type, minute): minutes in which a target got more than ``above`` requests, with a cooldown between.
+
+    The state of a target is the minute being counted, its count, and the last scale-out; a request older than
+    the minute being counted is left out, as it can no longer change what was decided.
+    """
+
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        minute, seen, last = state.get if state.exists else (-1, 0, -cooldown_s)
+        hits = []
+        seconds = sorted(int(t.timestamp()) for pdf in batches for t in pdf.ts if t is not pd.NaT)
+        for at in (s // 60 * 60 for s in seconds):
+            if at < minute:
+                continue
+            minute, seen = at, seen + 1 if at == minute else 1
+            if seen > above and minute - last >= cooldown_s:
+                hits.append(minute)
+                last = minute
+        state.update((minute, seen, last))
+        yield pd.DataFrame({"event_type": [key[0]] * len(hits), "minute": pd.to_datetime(hits, unit="s")})
+
+    return events.select("event_type", "ts").groupBy("event_type").applyInPandasWithState(
+        walk, "event_type string, minute timestamp", "minute long, seen long, last long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def ingest_stream(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Chunk each batch of new pages and append what the index does not have; a batch that comes again adds nothing."""
 

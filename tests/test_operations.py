@@ -100,6 +100,16 @@ def test_stream_equals_batch_for_closed_windows(spark, data, tmp_path):
     assert len(got) > 0.9 * len(batch) - 5 and all(batch[k] == v for k, v in got.items())
 
 
+def test_scale_out_state_goes_on_between_batches(spark, tmp_path):
+    source, start = str(tmp_path / "events"), dt.datetime(2026, 1, 1)
+    make = lambda minutes: spark.createDataFrame([(start + dt.timedelta(minutes=m, seconds=s), "view") for m in minutes for s in range(3)], "ts timestamp, event_type string")
+    for minutes in ((0, 1), (4, 5, 6)):
+        make(minutes).coalesce(1).write.mode("append").parquet(source)
+        stream.write_table(stream.scale_outs(stream.event_stream(spark, source), above=2), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted(r.minute.minute for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [0, 5] == sorted(r.minute.minute for r in M.scale_outs(make((0, 1, 4, 5, 6)), above=2).collect())
+
+
 def test_log_stream_counts_each_run_once(spark, tmp_path):
     path = str(tmp_path / "log")
     logs.append_timings(timings(spark, line(1), line(1), line(2)), path)
