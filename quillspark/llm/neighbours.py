@@ -24,11 +24,11 @@ TREES = 3
 #: Leaves each vector visits beside its own leaf of every tree.
 EXTRA_LEAVES = 5
 #: Vectors the trees are fitted on (about that many of a larger table), and the number of vectors a leaf should hold.
-SAMPLE, LEAF = 20_000, 6_000
+SAMPLE, LEAF = 20_000, 10_000
 #: Sampled vectors a leaf needs to be split again; bounds the number of leaves at SAMPLE / LEAST.
 LEAST = 8
 #: Members of one leaf that one task compares at once; a fuller leaf is compared block by block.
-BLOCK = 12_000
+BLOCK = 20_000
 #: Planes tried at a node, moves of their two points, the least share on one side, and the distance that counts as near a plane.
 TRIES, MOVES, UNEVEN, NEAR = 4, 10, 0.1, 0.1
 SEED = 7
