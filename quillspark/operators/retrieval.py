@@ -261,12 +261,19 @@ def overlap(question: Column, text: Column) -> Column:
     return F.when(every > 0, common / every).otherwise(0.0)
 
 
-def rerank(pairs: DataFrame, settings: Settings = Settings(), scorer=overlap) -> DataFrame:
+def rerank(pairs: DataFrame, settings: Settings = Settings(), scorer=None) -> DataFrame:
     """``pairs`` with rerank_score and rank, the best ``top_k`` of each question; ties by chunk_id.
 
-    ``scorer`` makes a Column from question and text; the default is term overlap, a stand-in for a model.
+    ``scorer`` makes a Column from question and text; the default is ``overlap``, a stand-in for a model, with the
+    terms of each side made once.
     """
-    scored = pairs.withColumn("rerank_score", scorer(F.col("question"), F.col("text")))
+    if scorer is not None:
+        scored = pairs.withColumn("rerank_score", scorer(F.col("question"), F.col("text")))
+    else:
+        terms = {name: F.array_distinct(T.tokens(F.lower(F.col(c)))) for name, c in (("_asked", "question"), ("_given", "text"))}
+        common = pairs.withColumns(terms).withColumn("_common", F.size(F.array_intersect("_asked", "_given")))
+        every = F.size("_asked") + F.size("_given") - F.col("_common")
+        scored = common.withColumn("rerank_score", F.when(every > 0, F.col("_common") / every).otherwise(0.0)).drop("_asked", "_given", "_common")
     return top(scored, "query_id", settings.top_k, F.round("rerank_score", 9).desc(), F.col("chunk_id"))
 
 
