@@ -210,13 +210,13 @@ def escalations(one_per_run: DataFrame, quiet_minutes: int = 15, least: int = 3)
 def scale_outs(events: DataFrame, above: int, cooldown_s: int = 300) -> DataFrame:
     """(event_type, minute, requests): minutes above the limit at which a target is scaled out, with a cooldown between.
 
-    Requests are counted per minute first; the cooldown then walks over the minutes of one target and day.
+    Requests are counted per minute first; the cooldown then walks over the busy minutes of one target, also across
+    midnight. These are at most 1,440 a day, however many requests there are.
     """
     minutes = (
         events.groupBy("event_type", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute"))
         .agg(F.count(F.lit(1)).alias("requests"))
         .filter(F.col("requests") > above)
-        .withColumn("day", F.to_date("minute"))
     )
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +228,7 @@ def scale_outs(events: DataFrame, above: int, cooldown_s: int = 300) -> DataFram
                 last = at
         return pdf.iloc[keep][["event_type", "minute", "requests"]]
 
-    return minutes.groupBy("event_type", "day").applyInPandas(walk, "event_type string, minute timestamp, requests long")
+    return minutes.groupBy("event_type").applyInPandas(walk, "event_type string, minute timestamp, requests long")
 
 
 def quota_minutes(events: DataFrame) -> DataFrame:

@@ -61,6 +61,13 @@ def test_scale_out_cooldown(spark):
     assert sorted(r.minute.minute for r in M.scale_outs(events, above=2).collect()) == [0, 5]
 
 
+def test_scale_out_cooldown_goes_on_after_midnight(spark):
+    start = dt.datetime(2026, 1, 1, 23, 58)
+    rows = [(start + dt.timedelta(minutes=m, seconds=s), "view") for m in (0, 3, 5) for s in range(3)]
+    events = spark.createDataFrame(rows, "ts timestamp, event_type string")
+    assert sorted(r.minute.minute for r in M.scale_outs(events, above=2).collect()) == [3, 58]
+
+
 def test_platform_rules(spark):
     df = spark.createDataFrame([(1, "a", None), (2, " ", "b"), (3, "a", "b")], "id int, team string, project string")
     assert {r.id: r.missing for r in P.missing_tags(df, "id", ("team", "project")).collect()} == {1: ["project"], 2: ["team"]}
