@@ -141,6 +141,19 @@ sections AS (
     FROM starts)
 SELECT DISTINCT source, page_number, b AS section_start FROM sections
 WHERE length(trim(s, chr(32) || chr(9) || chr(13) || chr(10))) > 1500
+""",
+    "p2_found": """
+WITH RECURSIVE c AS (
+    SELECT query_id, chunk_id, max(faiss_score) AS score, any_value(CAST(embedding AS DOUBLE[])) AS v FROM scored_chunks
+    WHERE query_id IN (SELECT query_id FROM subset_requests WHERE subset_size > 0) AND isfinite(faiss_score) AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY query_id, chunk_id),
+links AS (SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y FROM c AS a JOIN c AS b ON a.query_id = b.query_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5),
+reach AS (
+    SELECT query_id, x, y FROM links
+    UNION SELECT r.query_id, r.x, l.y FROM reach AS r JOIN links AS l ON r.query_id = l.query_id AND r.y = l.x),
+grouped AS (SELECT query_id, x AS chunk_id, min(y) AS g FROM reach GROUP BY query_id, x)
+SELECT query_id, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id FROM grouped JOIN c USING (query_id, chunk_id) GROUP BY query_id, g
 """,
     "p4_found": f"""
 WITH {_RUNS}
