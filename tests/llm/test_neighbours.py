@@ -34,7 +34,7 @@ def test_recall_with_small_leaves_and_blocks(spark, monkeypatch):
     ids, s = exact(proper)
     monkeypatch.setattr(N, "BLOCK", 60)
     got = {}
-    for r in N.similar_chunks(df, leaf=150, sample=400).collect():
+    for r in N.similar_chunks(df, region=150, leaf=40, visits=4, sample=400).collect():
         got.setdefault(r.chunk_id, {})[r.rank] = (r.other_id, r.cosine)
     assert set(got) == set(ids) and all(len(v) == 10 and sorted(v) == list(range(1, 11)) for v in got.values())
     hits = 0
