@@ -66,7 +66,7 @@ def p5_near(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "extracted_pages")
-    return lines.clean_blocks(pages, lines.repeated_places(pages))
+    return lines.clean_blocks(pages, lines.repeated_near(pages))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
