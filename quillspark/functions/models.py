@@ -48,8 +48,3 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
             yield texts.map(lambda t: embed_text(t, dimensions)).astype(object).where(lambda s: s.notna(), None)
 
     return embed
-
-
-def echo(prompt: str) -> str:
-    """Generator that gives back the prompt."""
-    return prompt

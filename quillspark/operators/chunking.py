@@ -7,25 +7,41 @@ from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import Settings, SplitterSettings
 from quillspark.functions import text as T
 from quillspark.session import cut_lineage
+from quillspark.sources.tables import once
 
 
-def child_windows(df: DataFrame, keys: list[str], text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(keys, child_no, start, child): fixed windows over each text; null and empty texts give none. Narrow."""
-    made = T.windows(F.col(text), settings.child_size, settings.child_overlap)
-    return df.select(*keys, F.posexplode(made).alias("child_no", "w")).select(*keys, "child_no", "w.start", F.col("w.text").alias("child"))
+def snapped_windows(c: Column, boundaries: Column, size: int, overlap: int) -> Column:
+    """(start, text) of windows of ``size`` characters; the next starts at the first boundary inside the overlap, else where the overlap does.
+
+    For texts of bounded length, such as parents: starts are found one after the other.
+    """
+    most = F.greatest(F.lit(0), F.ceil((F.length(c) - size) / F.lit(float(size - overlap))).cast("int"))
+    bounds = F.coalesce(boundaries, F.array().cast("array<int>"))
 
+    def step(starts: Column, _: Column) -> Column:
+        end = F.element_at(starts, -1) + size
+        inside = F.filter(bounds, lambda b: (b >= F.greatest(end - overlap, F.element_at(starts, -1) + 1)) & (b < end))
+        return F.when(end < F.length(c), F.array_append(starts, F.coalesce(F.array_min(inside), end - overlap))).otherwise(starts)
 
-def snap(text_window: str, start: int, end: int, boundaries: list[int], overlap: int) -> int:
-    """Start of the window after [start, end): a boundary inside the overlap if there is one, else ``end - overlap``."""
-    usual = end - overlap
-    inside = [b for b in boundaries if max(usual, start + 1) <= b < end]
-    return min(inside) if inside else usual
+    starts = F.aggregate(F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), step)
+    made = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(c, s + 1, F.lit(size)).alias("text")))
+    return F.when(F.length(c) > 0, made).otherwise(F.slice(made, 1, 0))
+
+
+def child_windows(df: DataFrame, keys: list[str], text: str = "text", settings: Settings = Settings(), boundaries: str | None = None) -> DataFrame:
+    """(keys, child_no, start, child): fixed windows over each text; null and empty texts give none. Narrow.
+
+    With a column of ``boundaries`` a window starts at a boundary that lies inside its overlap with the one before.
+    """
+    size, overlap = settings.child_size, settings.child_overlap
+    made = T.windows(F.col(text), size, overlap) if boundaries is None else snapped_windows(F.col(text), F.col(boundaries), size, overlap)
+    return df.select(*keys, F.posexplode(made).alias("child_no", "w")).select(*keys, "child_no", "w.start", F.col("w.text").alias("child"))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -68,7 +84,7 @@ def segments(pages: DataFrame) -> DataFrame:
     points = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.col("own"), T.paragraph_starts(F.col("block")))))
     following = F.concat(F.slice("points", F.lit(2), F.size("points")), F.array(F.length("block")))
     return (
-        pages.dropDuplicates(["source", "page_number"])
+        once(pages.select("source", "page_number", "blocks", "section_boundaries"), ["source", "page_number"])
         .select("source", "page_number", bounds.alias("section_boundaries"), F.posexplode(F.arrays_zip(blocks.alias("block"), ends.alias("offset"))).alias("block_no", "b"))
         .select("source", "page_number", "section_boundaries", "block_no", "b.block", "b.offset")
         .filter(F.length("block") > 0)
@@ -140,13 +156,20 @@ def parents(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(source, section_no, parent_no, page_number, heading, text, boundaries): parents of each document's sections.
 
     A boundary segment always closes the parent before it, so the run of segments from one boundary to the next
-    is folded by itself: sections are numbered by a running count that no single task makes alone, and a hot
-    document is spread over its sections. Within a task the sorted segments are folded as they stream by, so a
+    is folded by itself: sections are numbered by a running count over pages, which have no texts, and within each
+    page, so that texts move twice only and a hot document is spread over its sections. Within a task the sorted segments are folded as they stream by, so a
     section of any length needs the memory of one parent. Documents do not share parents.
     """
-    rows = segments(pages).withColumn("mark", F.col("is_boundary").cast("long"))
+    rows = segments(pages)
     order = ["page_number", "block_no", "seg_no"]
-    numbered = running_total(rows, ["source"], order, "mark", "section_no")
+    marks = rows.groupBy("source", "page_number").agg(F.count_if("is_boundary").alias("here"))
+    before = running_total(marks, ["source"], ["page_number"], "here", "upto").withColumn("before", F.col("upto") - F.col("here"))
+    before = before.select(F.col("source").alias("of"), F.col("page_number").alias("no"), "before")
+    own = Window.partitionBy("source", "page_number").orderBy("block_no", "seg_no")
+    numbered = (
+        rows.join(before, F.col("source").eqNullSafe(F.col("of")) & F.col("page_number").eqNullSafe(F.col("no")))
+        .withColumn("section_no", F.col("before") + F.count_if("is_boundary").over(own))
+    )
     size = settings.parent_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

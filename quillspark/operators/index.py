@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,38 +12,44 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, dl, term, tf): the term counts of every chunk with its length, a narrow map in Arrow batches.
+    """(key, dl, term, tf): the term counts of every chunk with its length; within the row, so nothing is shuffled.
 
-    A chunk is expected once per key. Chunks without terms have no postings but count in ``corpus_size``.
+    The terms of a chunk are sorted and counted by runs. A chunk is expected once per key. Chunks without terms
+    have no postings but count in ``corpus_size``.
     """
+    terms = chunks.select(key, F.array_sort(T.tokens(F.col(text))).alias("_terms")).withColumn("dl", F.size("_terms")).filter("dl > 0")
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.col("_terms")[i] != F.col("_terms")[F.greatest(i - 1, F.lit(0))]))
+    runs = terms.withColumn("_first", first)
+    end = lambda j: F.coalesce(F.get(F.col("_first"), j + 1), F.col("dl"))
+    counted = F.transform("_first", lambda i, j: F.struct(F.col("_terms")[i].alias("term"), (end(j) - i).alias("tf")))
+    return runs.select(key, "dl", F.explode(counted).alias("p")).select(key, "dl", "p.term", "p.tf")
+
+
+def tokenised(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, terms): the terms of every chunk, as ``corpus_size``, ``term_stats`` and ``retrieval.bm25_scan`` take them."""
+    return chunks.select(key, T.tokens(F.col(text)).alias("terms"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, lengths, terms, counts = [], [], [], []
-            for i, words in enumerate(batch.column(1).to_pylist()):
-                own = Counter(words)
-                rows += [i] * len(own)
-                lengths += [len(words)] * len(own)
-                terms += own.keys()
-                counts += own.values()
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(counts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "dl", "term", "tf"])
 
-    kind = chunks.schema[key].dataType.simpleString()
-    return chunks.select(key, T.tokens(F.col(text)).alias("terms")).mapInArrow(run, f"{key} {kind}, dl int, term string, tf int")
+def different_terms(tokens: DataFrame) -> DataFrame:
+    """(term): each term of each chunk once, for ``term_stats``."""
+    return tokens.select(F.explode(F.array_distinct("terms")).alias("term"))
 
 
-def corpus_size(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """One row (n, avgdl): number of chunks and their mean length in terms."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avgdl"))
+def corpus_size(tokens: DataFrame) -> DataFrame:
+    """One row (n, avgdl) from ``tokenised``: number of chunks and their mean length in terms."""
+    return tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
 
 
 def term_stats(posted: DataFrame, size: DataFrame) -> DataFrame:
     """(term, df, idf): document frequency and inverse document frequency; negative ones become ``EPSILON`` times the mean.
 
-    The mean runs over all terms, the negative ones included.
+    The mean runs over all terms, the negative ones included. ``posted`` has a row for every term of every chunk.
     """
-    counts = cut_lineage(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # read twice; the texts only once
+    return weighed(cut_lineage(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), size)  # read twice; the texts only once
+
+
+def weighed(counts: DataFrame, size: DataFrame) -> DataFrame:
+    """``term_stats`` from (term, df)."""
     raw = counts.crossJoin(F.broadcast(size.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.chunking import running_total
+from quillspark.sources.tables import once
 
 EDGE = 3
 HEADING_EXTRA = 2.0
@@ -15,7 +16,7 @@ HEADING_EXTRA = 2.0
 def page_text(pages: DataFrame) -> DataFrame:
     """(source, page_number, text): non-null blocks joined by a newline; repeated pages count once."""
     text = F.concat_ws("\n", F.coalesce("blocks", F.array().cast("array<string>")))
-    return pages.dropDuplicates(["source", "page_number"]).select("source", "page_number", text.alias("text"))
+    return once(pages.select("source", "page_number", "blocks"), ["source", "page_number"]).select("source", "page_number", text.alias("text"))
 
 
 def edge_lines(texts: DataFrame) -> DataFrame:
@@ -93,24 +94,15 @@ def section_starts(glyphs: Column, body: Column) -> Column:
 def regions(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, region_no, kind, top, lines, body): runs of table lines and of text lines of each text, from the top.
 
-    A table line starts with a bar. ``top`` is the number of the first line. All within the row, no shuffle.
+    A table line starts with a bar. ``top`` is the number of the first line. All within the row, no shuffle: every
+    line is compared with the one before, and the lines between two changes are a region.
     """
-    lines = F.transform(T.text_lines(F.col("text")), lambda x, i: F.struct(i.alias("no"), x.alias("line"), F.startswith(T.trim_left(x), F.lit("|")).alias("is_table")))
-    item = "array<struct<top:int,is_table:boolean,lines:array<string>>>"
-    empty = F.array().cast(item)
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last.top.alias("top"), last.is_table.alias("is_table"), F.array_append(last.lines, x.line).alias("lines"))
-        fresh = F.struct(x.no.cast("int").alias("top"), x.is_table.alias("is_table"), F.array(x.line).alias("lines"))
-        goes_on = (F.size(acc) > 0) & F.coalesce(F.try_element_at(acc, F.lit(-1)).is_table == x.is_table, F.lit(False))
-        return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
-
-    return (
-        documents.filter(F.length("text") > 0)
-        .select(key, F.posexplode(F.aggregate(lines, empty, step)).alias("region_no", "r"))
-        .select(
-            key, "region_no", F.when(F.col("r.is_table"), "table").otherwise("text").alias("kind"), F.col("r.top").alias("top"),
-            F.size("r.lines").alias("lines"), F.array_join("r.lines", "\n").alias("body"),
-        )
-    )
+    parts = documents.filter(F.length("text") > 0).select(key, T.text_lines(F.col("text")).alias("_lines"))
+    parts = parts.withColumn("_table", F.transform("_lines", lambda x: F.startswith(T.trim_left(x), F.lit("|"))))
+    changes = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (F.col("_table")[i] != F.col("_table")[F.greatest(i - 1, F.lit(0))]))
+    cut = parts.withColumn("_tops", changes)
+    end = lambda j: F.coalesce(F.get(F.col("_tops"), j + 1), F.size("_lines"))
+    made = F.transform("_tops", lambda i, j: F.struct(i.alias("top"), F.col("_table")[i].alias("is_table"), F.slice("_lines", i + 1, end(j) - i).alias("lines")))
+    return cut.select(key, F.posexplode(made).alias("region_no", "r")).select(
+        key, "region_no", F.when(F.col("r.is_table"), "table").otherwise("text").alias("kind"), "r.top", F.size("r.lines").alias("lines"), F.array_join("r.lines", "\n").alias("body")
+    )

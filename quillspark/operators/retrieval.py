@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quillspark.config import Settings
 from quillspark.functions import text as T
-from quillspark.functions import vector as V
 from quillspark.operators import index
 from quillspark.operators.grouped import by_group
 
@@ -48,8 +47,8 @@ def bm25(questions: DataFrame, posted: DataFrame, size: DataFrame, stats: DataFr
     return top(scored, "query_id", k, F.round("score", 9).desc(), F.col(key))
 
 
-def bm25_scan(questions: DataFrame, chunks: DataFrame, size: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """The same rows as ``bm25`` for a large stated set of questions, in one pass over the chunk texts per block of questions.
+def bm25_scan(questions: DataFrame, tokens: DataFrame, size: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """The same rows as ``bm25`` for a large stated set of questions, in one pass over ``index.tokenised`` chunks per block of questions.
 
     Where many questions share frequent terms a join makes a row for every question and chunk; here each partition
     scores its chunks against all questions of a block at once and keeps its ``k`` best, so only those are shuffled.
@@ -63,20 +62,20 @@ def bm25_scan(questions: DataFrame, chunks: DataFrame, size: DataFrame, stats: D
         rows = part.collect()
         used = part.select(F.explode("terms").alias("term")).distinct()
         idf = {r.term: r.idf for r in stats.join(F.broadcast(used), "term").select("term", "idf").collect()}
-        found = _score(chunks, [r.query_id for r in rows], [r.terms for r in rows], idf, average, k, key, asked)
+        found = _score(tokens, [r.query_id for r in rows], [r.terms for r in rows], idf, average, k, key, asked)
         out = found if out is None else out.unionByName(found)
     return top(out, "query_id", k, F.round("score", 9).desc(), F.col(key))
 
 
-def _score(chunks: DataFrame, ids: list, terms: list[list[str]], idf: dict[str, float], average: float, k: int, key: str, asked: DataFrame) -> DataFrame:
+def _score(tokens: DataFrame, ids: list, terms: list[list[str]], idf: dict[str, float], average: float, k: int, key: str, asked: DataFrame) -> DataFrame:
     place = {t: i for i, t in enumerate(sorted(idf))}
     weights = np.zeros((len(place), len(ids)))
     for q, words in enumerate(terms):
         for w in words:
             if w in place:
                 weights[place[w], q] += idf[w]
-    shared = chunks.sparkSession.sparkContext.broadcast((place, weights))
-    kinds = asked.schema["query_id"].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
+    shared = tokens.sparkSession.sparkContext.broadcast((place, weights))
+    kinds = asked.schema["query_id"].dataType.simpleString(), tokens.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, weights = shared.value
@@ -105,8 +104,7 @@ def _score(chunks: DataFrame, ids: list, terms: list[list[str]], idf: dict[str,
             [pa.array([ids[i] for i in owners]), pa.array(best_keys.ravel()[keep].tolist()), pa.array(best.ravel()[keep])], names=["query_id", key, "score"]
         )
 
-    read = chunks.select(key, T.tokens(F.col("text")).alias("terms"))
-    return read.mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    return tokens.select(key, "terms").mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, score: str = "cosine", min_score: float | None = None) -> DataFrame:
@@ -216,6 +214,25 @@ def passes(fused: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return fused.filter(enough | F.col("dense_score").isNull() if settings.keep_lexical_only else enough)
 
 
+class NoResults(Exception):
+    """A question without results; raised for one question asked interactively, not in batches."""
+
+
+class NothingFound(NoResults):
+    """The index holds nothing for the question."""
+
+
+class NothingRelevant(NoResults):
+    """What the index holds for the question does not reach the least score."""
+
+
+def require(rows: DataFrame, error: type[NoResults]) -> DataFrame:
+    """``rows``, or ``error`` if there are none."""
+    if rows.isEmpty():
+        raise error(error.__doc__)
+    return rows
+
+
 def mmr_order(relevance: np.ndarray, similarity: np.ndarray, k: int, lam: float) -> list[int]:
     """Rows in the order chosen: the most relevant, then always the best of relevance against likeness to those chosen."""
     left = list(range(len(relevance)))
@@ -261,19 +278,24 @@ def overlap(question: Column, text: Column) -> Column:
     return F.when(every > 0, common / every).otherwise(0.0)
 
 
+def question_terms(c: Column) -> Column:
+    """Different lower-cased terms of a text, for ``rerank``."""
+    return F.array_distinct(T.tokens(F.lower(c)))
+
+
 def rerank(pairs: DataFrame, settings: Settings = Settings(), scorer=None) -> DataFrame:
     """``pairs`` with rerank_score and rank, the best ``top_k`` of each question; ties by chunk_id.
 
-    ``scorer`` makes a Column from question and text; the default is ``overlap``, a stand-in for a model, with the
-    terms of each side made once.
+    ``scorer`` makes a Column from question and text; the default is ``overlap``, a stand-in for a model. Where
+    pairs have ``asked_terms`` and ``given_terms``, made once per question and text before they met, these are used.
     """
     if scorer is not None:
         scored = pairs.withColumn("rerank_score", scorer(F.col("question"), F.col("text")))
     else:
-        terms = {name: F.array_distinct(T.tokens(F.lower(F.col(c)))) for name, c in (("_asked", "question"), ("_given", "text"))}
-        common = pairs.withColumns(terms).withColumn("_common", F.size(F.array_intersect("_asked", "_given")))
-        every = F.size("_asked") + F.size("_given") - F.col("_common")
-        scored = common.withColumn("rerank_score", F.when(every > 0, F.col("_common") / every).otherwise(0.0)).drop("_asked", "_given", "_common")
+        made = {name: question_terms(F.col(c)) for name, c in (("asked_terms", "question"), ("given_terms", "text")) if name not in pairs.columns}
+        common = pairs.withColumns(made).withColumn("_common", F.size(F.array_intersect("asked_terms", "given_terms")))
+        every = F.size("asked_terms") + F.size("given_terms") - F.col("_common")
+        scored = common.withColumn("rerank_score", F.when(every > 0, F.col("_common") / every).otherwise(0.0)).drop("asked_terms", "given_terms", "_common")
     return top(scored, "query_id", settings.top_k, F.round("rerank_score", 9).desc(), F.col("chunk_id"))
 
 
@@ -298,7 +320,3 @@ def with_vectors(candidates: DataFrame, stored: DataFrame, fallback: Column) ->
     known = stored.groupBy(F.col("chunk_id").alias("_id")).agg(F.first("embedding", ignorenulls=True).alias("stored_vector"))
     return candidates.join(known, F.col("chunk_id") == F.col("_id"), "left").withColumn("vector", F.coalesce("stored_vector", fallback)).drop("_id", "stored_vector")
 
-
-def similarity_column(a: str, b: str, score: str = "cosine") -> Column:
-    """Similarity of two vector columns in the JVM, for joins that already hold both."""
-    return V.cosine(F.col(a), F.col(b)) if score == "cosine" else V.l2_relevance(F.col(a), F.col(b))

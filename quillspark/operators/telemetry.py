@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.times import event_time, log_time, utc_day
 
 #: The timing columns in their declared order.
 STAGES = (
@@ -21,19 +22,22 @@ ALERT_RULES = (
     ("latency_p95_high", "latency_p95", 3.0, 5, "P2"),
     ("model_latency_p95_high", "model_latency_p95", 2.0, 5, "P2"),
     ("invocation_error_rate_high", "error_rate", 0.01, 5, "P2"),
+    ("endpoint_unavailable", "unhealthy", 0.0, 2, "P1"),
+    ("cpu_high", "cpu", 85.0, 10, "P3"),
+    ("memory_high", "memory", 90.0, 10, "P2"),
+    ("token_budget_high", "budget_share", 0.8, 1440, "P3"),
 )
 
 
-def log_time(c: Column) -> Column:
-    """ISO-8601 text with any offset to a timestamp; null if it is none."""
-    return F.try_to_timestamp(c)
+def runs(timings: DataFrame, *columns: str) -> DataFrame:
+    """One row per run_id: repeated lines, which differ only in received_at, count once, the first received.
 
-
-def runs(timings: DataFrame) -> DataFrame:
-    """One row per run_id with ``ts``: repeated lines, which differ only in received_at, count once, the first received."""
-    rest = [c for c in timings.columns if c not in ("run_id", "received_at")]
+    With ``columns`` only those are read and shuffled. ``ts`` is the time of ``log_ts``, if that is among them.
+    """
+    rest = list(columns) or [c for c in timings.columns if c not in ("run_id", "received_at")]
     first = timings.groupBy("run_id").agg(F.min(F.struct("received_at", *rest)).alias("line"))
-    return first.select("run_id", "line.received_at", *(f"line.{c}" for c in rest)).withColumn("ts", log_time(F.col("log_ts")))
+    found = first.select("run_id", "line.received_at", *(f"line.{c}" for c in rest))
+    return found.withColumn("ts", log_time(F.col("log_ts"))) if "log_ts" in rest else found
 
 
 def status_of(c: Column) -> Column:
@@ -91,37 +95,47 @@ def usage_cost(usage: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, minutes: int = 5, *keys: str) -> DataFrame:
-    """(keys, window_start, requests, errors, error_rate, latency p50, p95, p99) per tumbling window."""
+    """(keys, window_start, requests, errors, tokens, error_rate, latency p50, p95, p99) per tumbling window.
+
+    Requests are counted per different latency first, so the exact percentiles of a busy window are taken from the
+    counts of its values and not from all its rows. Tokens are the ``k`` of the JSON props.
+    """
     error = F.when(F.col("event_type") == "error", 1).otherwise(0)
-    exact = {f"latency_p{p}": F.percentile("value", F.lit(p / 100)) for p in (50, 95, 99)}
+    tokens = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) if "props" in events.columns else F.lit(0).cast("long")
+    exact = {f"latency_p{p}": F.percentile("value", F.lit(p / 100), F.col("n")) for p in (50, 95, 99)}
     return (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .groupBy(F.window("ts", f"{minutes} minutes").alias("w"), *keys)
-        .agg(F.count(F.lit(1)).alias("requests"), F.sum(error).alias("errors"), *(F.round(v, 6).alias(k) for k, v in exact.items()))
-        .select(*keys, F.col("w.start").alias("window_start"), "requests", "errors", F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate"), *exact)
+        events.groupBy(F.window(event_time(events, "ts"), f"{minutes} minutes").alias("w"), *keys, "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("e"), F.sum(tokens).alias("t"))
+        .groupBy("w", *keys)
+        .agg(F.sum("n").alias("requests"), F.sum("e").alias("errors"), F.sum("t").alias("tokens"), *(F.round(v, 6).alias(k) for k, v in exact.items()))
+        .select(*keys, F.col("w.start").alias("window_start"), "requests", "errors", "tokens", F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate"), *exact)
     )
 
 
-def alerts(windows: DataFrame, metrics: dict[str, str]) -> DataFrame:
-    """(window_start, alert, severity, metric, value, threshold) of every window above a rule; ``metrics`` maps rule metrics to columns."""
+def alerts(windows: DataFrame, metrics: dict[str, str], minutes: int = 5) -> DataFrame:
+    """(window_start, alert, severity, metric, value, threshold) of every window of ``minutes`` above a rule of that period.
+
+    ``metrics`` maps metrics of the rules to columns of ``windows``; a null value raises nothing.
+    """
     spark = windows.sparkSession
-    rules = spark.createDataFrame(ALERT_RULES, "alert string, rule_metric string, threshold double, minutes int, severity string")
+    rules = [(a, m, t, s) for a, m, t, period, s in ALERT_RULES if period == minutes]
+    known = spark.createDataFrame(rules, "alert string, rule_metric string, threshold double, severity string")
     values = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in metrics.items()))
     long = windows.select("window_start", F.explode(values).alias("m")).select("window_start", "m.metric", "m.value")
     hit = (F.col("metric") == F.col("rule_metric")) & (F.col("value") > F.col("threshold"))
-    return long.join(F.broadcast(rules), hit).select("window_start", "alert", "severity", "metric", "value", "threshold")
+    return long.join(F.broadcast(known), hit).select("window_start", "alert", "severity", "metric", "value", "threshold")
 
 
 def floods(events: DataFrame, minutes: int = 5, slide: int = 1, least: int = 3) -> DataFrame:
     """(user_id, window_start, requests) of sliding windows in which a consumer sent at least ``least`` requests."""
-    span = F.window(F.col("ts").cast("timestamp"), f"{minutes} minutes", f"{slide} minutes")
+    span = F.window(event_time(events, "ts"), f"{minutes} minutes", f"{slide} minutes")
     counted = events.groupBy("user_id", span.alias("w")).agg(F.count(F.lit(1)).alias("requests"))
     return counted.filter(F.col("requests") >= least).select("user_id", F.col("w.start").alias("window_start"), "requests")
 
 
 def anomalies(events: DataFrame, deviations: float = 3.0) -> DataFrame:
     """(user_id, day, requests, mean, spread): days on which a consumer's count is far above its own mean."""
-    daily = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"))
+    daily = events.groupBy("user_id", utc_day(event_time(events, "ts")).alias("day")).agg(F.count(F.lit(1)).alias("requests"))
     own = daily.groupBy("user_id").agg(F.avg("requests").alias("mean"), F.stddev_pop("requests").alias("spread"))
     far = F.col("requests") > F.col("mean") + deviations * F.col("spread")
     return daily.join(own, "user_id").filter(far).select("user_id", "day", "requests", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"))
@@ -132,7 +146,7 @@ def token_budget(tokens: DataFrame, monthly: float, share: float = 0.8) -> DataF
 
     Tokens are added up per day before the window, which then holds at most 31 rows a month.
     """
-    daily = tokens.groupBy(F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("tokens"))
+    daily = tokens.groupBy(utc_day(event_time(tokens, "ts")).alias("day")).agg(F.sum("tokens").alias("tokens"))
     month = F.date_format("day", "yyyy-MM")
     running = Window.partitionBy("month").orderBy("day")
     return (
@@ -145,7 +159,7 @@ def token_budget(tokens: DataFrame, monthly: float, share: float = 0.8) -> DataF
 def availability(one_per_run: DataFrame, days: int = 30) -> DataFrame:
     """(deployment, day, runs, ok_runs, availability): share of ok runs in the ``days`` days up to each day."""
     ok = F.when(status_of(F.col("status")) == "ok", 1).otherwise(0)
-    daily = one_per_run.filter(F.col("ts").isNotNull()).groupBy("deployment", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("r"), F.sum(ok).alias("k"))
+    daily = one_per_run.filter(F.col("ts").isNotNull()).groupBy("deployment", utc_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("r"), F.sum(ok).alias("k"))
     span = Window.partitionBy("deployment").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
     summed = daily.withColumn("runs", F.sum("r").over(span)).withColumn("ok_runs", F.sum("k").over(span))
     return summed.select("deployment", "day", "runs", "ok_runs", F.round(F.col("ok_runs") / F.col("runs"), 6).alias("availability"))
@@ -153,7 +167,7 @@ def availability(one_per_run: DataFrame, days: int = 30) -> DataFrame:
 
 def growth(one_per_run: DataFrame, ahead: int = 90) -> DataFrame:
     """(deployment, days, slope, projected): line through the runs per day, ``ahead`` days after the last."""
-    daily = one_per_run.filter(F.col("ts").isNotNull()).groupBy("deployment", F.unix_date(F.to_date("ts")).alias("x")).agg(F.count(F.lit(1)).alias("y"))
+    daily = one_per_run.filter(F.col("ts").isNotNull()).groupBy("deployment", F.unix_date(utc_day(F.col("ts"))).alias("x")).agg(F.count(F.lit(1)).alias("y"))
     fit = daily.groupBy("deployment").agg(
         F.count(F.lit(1)).alias("days"), F.regr_slope(F.col("y").cast("double"), F.col("x").cast("double")).alias("slope"),
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.max("x").alias("last"),
@@ -175,7 +189,7 @@ def cost_by_tag(one_per_run: DataFrame, usage: DataFrame) -> DataFrame:
 def trailing_use(one_per_run: DataFrame, days: int = 30) -> DataFrame:
     """(deployment, day, busy_s, trailing_mean): seconds of work per day and their mean over the ``days`` days up to it."""
     good = (F.col("total_s") >= 0) & ~F.isnan("total_s") & F.col("ts").isNotNull()
-    daily = one_per_run.filter(good).groupBy("deployment", F.to_date("ts").alias("day")).agg(F.sum("total_s").alias("busy"))
+    daily = one_per_run.filter(good).groupBy("deployment", utc_day(F.col("ts")).alias("day")).agg(F.sum("total_s").alias("busy"))
     span = Window.partitionBy("deployment").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
     return daily.select("deployment", "day", F.round("busy", 4).alias("busy_s"), F.round(F.avg("busy").over(span), 8).alias("trailing_mean"))
 
@@ -187,37 +201,55 @@ def retained(one_per_run: DataFrame, ok_days: int = 30, error_days: int = 90) ->
     """
     newest = one_per_run.agg(F.max("ts").alias("newest"))
     limit = F.when(status_of(F.col("status")) == "error", error_days).otherwise(ok_days)
-    kept = F.coalesce(F.date_diff("newest", "ts") <= limit, F.lit(True))
+    kept = F.coalesce(F.date_diff(utc_day(F.col("newest")), utc_day(F.col("ts"))) <= limit, F.lit(True))
     counted = one_per_run.crossJoin(F.broadcast(newest)).withColumn("kept", kept)
     return counted.groupBy("deployment").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
+def islands(df: DataFrame, key: str, time: str, gap_s: float, closed: bool = True) -> DataFrame:
+    """``df`` with ``island``: rows of a key belong together while they follow each other within ``gap_s`` (below it, unless ``closed``).
+
+    Rows are compared within an hour of their key; the last time of the hour before, and the number of islands
+    up to it, are carried over by windows over hours, so no task holds more than one hour of a key and no island ends with one.
+    Rows without a time must be left out.
+    """
+    columns = df.columns
+    hours = df.withColumn("_at", F.unix_micros(time)).withColumn("_hour", F.floor(F.col("_at") / F.lit(3_600_000_000)))
+    by_hour = Window.partitionBy("_key").orderBy("_of")
+    within = Window.partitionBy(key, "_hour").orderBy("_at")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hour") == F.col("_of"))
+
+    def of_hours(rows: DataFrame, value: Column) -> DataFrame:
+        return rows.groupBy(F.col(key).alias("_key"), F.col("_hour").alias("_of")).agg(value.alias("_value"))
+
+    last = of_hours(hours, F.max("_at")).select("_key", "_of", F.lag("_value").over(by_hour).alias("_before"))
+    gap = F.col("_at") - F.coalesce(F.lag("_at").over(within), F.col("_before"))
+    together = gap <= gap_s * 1_000_000 if closed else gap < gap_s * 1_000_000
+    marked = hours.join(last, same).withColumn("_new", F.when(together, 0).otherwise(1)).drop("_key", "_of", "_before")
+    upto = of_hours(marked, F.sum("_new")).select("_key", "_of", (F.sum("_value").over(by_hour) - F.col("_value")).alias("_upto"))
+    numbered = marked.withColumn("island", F.sum("_new").over(within)).join(upto, same)
+    return numbered.select(*columns, (F.col("island") + F.col("_upto")).alias("island"))
+
+
 def escalations(one_per_run: DataFrame, quiet_minutes: int = 15, least: int = 3) -> DataFrame:
     """(deployment, started, ended, failures, severity): runs of failures with gaps of at most ``quiet_minutes``.
 
-    Gaps and islands over the failures of a deployment and day; an island of ``least`` failures is P1, else P2.
-    Islands end at midnight UTC, which bounds every window to a day.
+    Gaps and islands over the failures of a deployment; an island of ``least`` failures is P1, else P2.
     """
-    failed = one_per_run.filter((status_of(F.col("status")) == "error") & F.col("ts").isNotNull()).withColumn("day", F.to_date("ts"))
-    order = Window.partitionBy("deployment", "day").orderBy("ts", "run_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    fresh = F.when(gap <= quiet_minutes * 60_000_000, 0).otherwise(1)
-    numbered = failed.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = numbered.groupBy("deployment", "day", "island").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("failures"))
-    return islands.select("deployment", "started", "ended", "failures", F.when(F.col("failures") >= least, "P1").otherwise("P2").alias("severity"))
+    failed = one_per_run.filter((status_of(F.col("status")) == "error") & F.col("ts").isNotNull()).select("deployment", "ts")
+    grouped = islands(failed, "deployment", "ts", quiet_minutes * 60).groupBy("deployment", "island")
+    found = grouped.agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("failures"))
+    return found.select("deployment", "started", "ended", "failures", F.when(F.col("failures") >= least, "P1").otherwise("P2").alias("severity"))
 
 
 def scale_outs(events: DataFrame, above: int, cooldown_s: int = 300) -> DataFrame:
     """(event_type, minute, requests): minutes above the limit at which a target is scaled out, with a cooldown between.
 
-    Requests are counted per minute first; the cooldown then walks over the busy minutes of one target, also across
-    midnight. These are at most 1,440 a day, however many requests there are.
+    Requests are counted per minute first. Busy minutes with gaps below the cooldown form an island, at the start of
+    which no cooldown can still run; the cooldown walks over one island at a time, also across midnight.
     """
-    minutes = (
-        events.groupBy("event_type", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .filter(F.col("requests") > above)
-    )
+    minute = F.date_trunc("minute", event_time(events, "ts")).alias("minute")
+    minutes = events.groupBy("event_type", minute).agg(F.count(F.lit(1)).alias("requests")).filter((F.col("requests") > above) & F.col("minute").isNotNull())
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("minute", ignore_index=True)
@@ -228,12 +260,30 @@ def scale_outs(events: DataFrame, above: int, cooldown_s: int = 300) -> DataFram
                 last = at
         return pdf.iloc[keep][["event_type", "minute", "requests"]]
 
-    return minutes.groupBy("event_type").applyInPandas(walk, "event_type string, minute timestamp, requests long")
+    busy = islands(minutes, "event_type", "minute", cooldown_s, closed=False)
+    return busy.groupBy("event_type", "island").applyInPandas(walk, "event_type string, minute timestamp, requests long")
+
+
+def change_failure_rate(one_per_run: DataFrame, hours: int = 24, tolerated: float = 0.05) -> DataFrame:
+    """(deployment, changes, failed, rate): changes of a deployment, and those followed by too many failed runs.
+
+    A change is the first day of runs after a day without any, so the first day too; it failed if more than
+    ``tolerated`` of the runs in the ``hours`` hours from its first run did.
+    """
+    timed = one_per_run.filter(F.col("ts").isNotNull()).withColumn("bad", F.when(status_of(F.col("status")) == "error", 1).otherwise(0))
+    daily = timed.groupBy("deployment", utc_day(F.col("ts")).alias("day")).agg(F.min("ts").alias("began"))
+    before = F.lag("day").over(Window.partitionBy("deployment").orderBy("day"))
+    changes = daily.withColumn("gap", F.date_diff("day", before)).filter(F.col("gap").isNull() | (F.col("gap") > 1)).select(F.col("deployment").alias("of"), "began")
+    after = F.unix_micros("ts") - F.unix_micros("began")
+    followed = changes.join(timed, F.col("of").eqNullSafe(F.col("deployment")) & (after >= 0) & (after < hours * 3_600_000_000))
+    rated = followed.groupBy("of", "began").agg(F.avg("bad").alias("share"))
+    done = rated.groupBy(F.col("of").alias("deployment")).agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("share") > tolerated).alias("failed"))
+    return done.withColumn("rate", F.round(F.col("failed") / F.col("changes"), 6))
 
 
 def quota_minutes(events: DataFrame) -> DataFrame:
     """(event_type, minute, requests, tokens): requests and tokens per minute; tokens are the ``k`` of the JSON props."""
     tokens = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
-    return events.groupBy("event_type", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute")).agg(
+    return events.groupBy("event_type", F.date_trunc("minute", event_time(events, "ts")).alias("minute")).agg(
         F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("tokens")
     )

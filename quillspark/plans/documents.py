@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.times import event_time
 from quillspark.operators import chunking, index, layout, platform
 from quillspark.plans import sql
-from quillspark.sources.tables import spread, table
+from quillspark.sources.tables import once, spread, table
 
 
 def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +32,7 @@ def parent_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def parent_children(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["source", "section_no", "parent_no"]
-    return chunking.child_windows(parent_chunks(spark, folder), [*keys, "heading"])
+    return chunking.child_windows(parent_chunks(spark, folder), [*keys, "heading"], boundaries="boundaries")
 
 
 def block_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,15 +74,18 @@ def chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "copies", F.length("text").alias("chars"))
 
 
+#: Documents up to this time are in the index when the later ones are added.
+INDEXED_UNTIL = "2026-05-24T00:00:00Z"
+
+
 def incremental_new(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of documents younger than the day on which half of them existed that the older ones do not have."""
+    """Chunks of the documents after ``INDEXED_UNTIL`` that the earlier ones do not have."""
     documents = table(spark, folder, "documents", "doc_id", "text", "created_at")
-    cut = documents.agg(F.percentile(F.unix_micros("created_at"), F.lit(0.5)).alias("cut"))
-    marked = documents.crossJoin(F.broadcast(cut)).withColumn("old", F.unix_micros("created_at") <= F.col("cut"))
-    old, fresh = (chunking.child_windows(marked.filter(c), ["doc_id"]) for c in (F.col("old"), ~F.col("old")))
+    is_old = event_time(documents, "created_at") <= F.lit(INDEXED_UNTIL).cast("timestamp")
+    old, fresh = (chunking.child_windows(documents.filter(c), ["doc_id"]) for c in (is_old, ~is_old))
     hashed = lambda df: df.select("doc_id", "child_no", F.sha2("child", 256).alias("key"))
     first = hashed(fresh).groupBy("key").agg(F.min(F.struct("doc_id", "child_no")).alias("at"))
-    return index.new_chunks(first, hashed(old).select("key").distinct(), ["key"]).select("key", "at.doc_id", "at.child_no")
+    return index.new_chunks(first, hashed(old).select("key"), ["key"]).select("key", "at.doc_id", "at.child_no")
 
 
 def header_footer_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,15 +102,12 @@ def edge_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def section_headings(spark: SparkSession, folder: str) -> DataFrame:
-    """Section starts by size: one glyph run per non-null block; one-line blocks without closing punctuation are set larger."""
-    pages = table(spark, folder, "extracted_pages").dropDuplicates(["source", "page_number"])
-    heading = lambda b: ~F.contains(b, F.lit("\n")) & (F.length(b) < 80) & ~b.rlike(r"[.!?|;]\s*$") & ~T.is_blank(b)
-    size = F.coalesce("body_font_size", F.lit(0.0))
-    glyphs = F.transform(
-        F.filter("blocks", lambda b: b.isNotNull()), lambda b: F.struct(b.alias("text"), F.when(heading(b), size + 4.0).otherwise(size).alias("size"))
-    )
-    made = pages.select("source", "page_number", glyphs.alias("glyphs")).withColumn("body", layout.body_size(F.col("glyphs")))
-    return made.select("source", "page_number", "body", F.explode(layout.section_starts(F.col("glyphs"), F.col("body"))).alias("start"))
+    """The heading at every given section boundary of a page: the first line of the text from there on, and the page's given body size."""
+    pages = once(table(spark, folder, "extracted_pages"), ["source", "page_number"])
+    text = F.concat_ws("\n", F.coalesce("blocks", F.array().cast("array<string>")))
+    starts = F.array_distinct(F.filter(F.coalesce("section_boundaries", F.array().cast("array<int>")), lambda b: (b >= 0) & (b < F.length("text"))))
+    found = pages.select("source", "page_number", "body_font_size", "section_boundaries", text.alias("text")).withColumn("start", F.explode(starts))
+    return found.select("source", "page_number", F.col("body_font_size").alias("body"), "start", T.first_line(F.substring(F.col("text"), F.col("start") + 1, F.length("text"))).alias("heading"))
 
 
 def source_font_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,10 +169,9 @@ repeated AS (
     JOIN placed c ON a.source = c.source AND a.edge = c.edge AND a.pos = c.pos AND a.line = c.line AND c.r = a.r + 2)
 """
 
-_CHILDREN = """
+_CHILDREN = f"""
 WITH parts AS (
-    SELECT doc_id, text, CASE WHEN created_at <= (SELECT make_timestamp(CAST(quantile_cont(epoch_us(created_at), 0.5) AS BIGINT)) AT TIME ZONE 'UTC' FROM documents)
-                              THEN 1 ELSE 0 END AS old FROM documents WHERE length(text) > 0),
+    SELECT doc_id, text, CASE WHEN created_at <= TIMESTAMPTZ '{INDEXED_UNTIL}' THEN 1 ELSE 0 END AS old FROM documents WHERE length(text) > 0 AND created_at IS NOT NULL),
 kids AS (
     SELECT doc_id, old, text, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 400) / 320.0) AS INTEGER)))) AS child_no FROM parts),
 keyed AS (SELECT doc_id, old, child_no, sha256(substring(text, child_no * 320 + 1, 400)) AS key FROM kids)
@@ -203,6 +203,31 @@ FROM documents
 SELECT min(doc_id) AS doc_id, count(DISTINCT doc_id) AS copies, CAST(length(text) AS INTEGER) AS chars FROM documents GROUP BY text
 """,
     "incremental_new": _CHILDREN,
+    "section_headings": f"""
+WITH p AS (
+    SELECT DISTINCT source, page_number, body_font_size AS body, section_boundaries,
+           coalesce(array_to_string(list_filter(blocks, lambda b: b IS NOT NULL), chr(10)), '') AS text FROM extracted_pages),
+s AS (SELECT source, page_number, body, text, unnest(list_distinct(list_filter(section_boundaries, lambda b: b >= 0 AND b < length(text)))) AS start FROM p)
+SELECT source, page_number, body, start, {sql.trim_all(f"string_split_regex({sql.trim_all('substring(text, start + 1)')}, '{sql.LINE_END}')[1]")} AS heading FROM s
+""",
+    "block_segments": f"""
+WITH p AS (SELECT DISTINCT source, page_number, section_boundaries, list_filter(blocks, lambda b: b IS NOT NULL) AS bs FROM extracted_pages WHERE blocks IS NOT NULL),
+b AS (
+    SELECT source, page_number, section_boundaries, unnest(bs) AS block, generate_subscripts(bs, 1) - 1 AS block_no,
+           unnest(list_transform(bs, lambda x, i: list_sum(list_transform(bs[1:i - 1], lambda y: length(y) + 1)))) AS o FROM p),
+k AS (
+    SELECT source, page_number, block_no, block, list_transform(list_filter(list_distinct(coalesce(section_boundaries, [])),
+           lambda x: x >= coalesce(o, 0) AND x < coalesce(o, 0) + length(block)), lambda x: CAST(x - coalesce(o, 0) AS BIGINT)) AS own FROM b WHERE length(block) > 0),
+c AS (
+    SELECT *, unnest(list_sort(list_distinct(list_concat([0::BIGINT], own,
+        list_filter(generate_series(2, length(block) - 1), lambda i: substring(block, i - 1, 2) = chr(10) || chr(10)))))) AS start FROM k),
+s AS (
+    SELECT source, page_number, block_no, own, start, row_number() OVER w - 1 AS seg_no,
+           substring(block, start + 1, coalesce(lead(start) OVER w, length(block)) - start) AS segment
+    FROM c WINDOW w AS (PARTITION BY source, page_number, block_no ORDER BY start))
+SELECT source, page_number, CAST(block_no AS INTEGER) AS block_no, CAST(seg_no AS INTEGER) AS seg_no, CAST(start AS INTEGER) AS start,
+       list_contains(own, start) AS is_boundary, segment FROM s WHERE {sql.trim_all("segment")} <> ''
+""",
     "edge_lines": f"WITH {_EDGES} SELECT source, page_number, edge, pos, line FROM edges",
     "header_footer_lines": f"WITH {_REPEATED} SELECT source, line FROM repeated",
     "strip_lines": f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.times import event_time
 from quillspark.operators import platform, telemetry
 from quillspark.plans import sql
 from quillspark.sources import logs
@@ -16,8 +17,8 @@ MONTHLY_TOKENS, SCALE_ABOVE = 1_000_000.0, 1
 PATTERNS = {"not_found": "(?i)not found", "timeout": "(?i)time[sd]? ?out", "refused": "(?i)refused", "parse": "(?i)parse", "filter": "(?i)filter"}
 
 
-def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.runs(table(spark, folder, "rag_timings"))
+def _runs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return telemetry.runs(table(spark, folder, "rag_timings"), *columns)
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,15 +26,15 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.stage_summary(_runs(spark, folder))
+    return telemetry.stage_summary(_runs(spark, folder, "deployment", *telemetry.STAGES))
 
 
 def stage_top2(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.slowest_stages(_runs(spark, folder))
+    return telemetry.slowest_stages(_runs(spark, folder, *telemetry.STAGES[:-1]))
 
 
 def timing_table(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.timing_lines(_runs(spark, folder))
+    return telemetry.timing_lines(_runs(spark, folder, *telemetry.STAGES))
 
 
 def timing_log_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +44,7 @@ def timing_log_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def error_class(spark: SparkSession, folder: str) -> DataFrame:
-    failed = _runs(spark, folder).filter(F.col("error_message").isNotNull())
+    failed = _runs(spark, folder, "error_message", "error_type").filter(F.col("error_message").isNotNull())
     flags = [T.unreachable(F.col("error_message"), g).alias(f"unreachable_v{g}") for g in (1, 2, 3)]
     return failed.groupBy("error_type", *flags).agg(F.count(F.lit(1)).alias("runs"))
 
@@ -51,7 +52,7 @@ def error_class(spark: SparkSession, folder: str) -> DataFrame:
 def question_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Questions by what the input checks say: blank, over 200 characters, cut at 80 for the log."""
     q = F.col("question")
-    rows = _runs(spark, folder).select(
+    rows = _runs(spark, folder, "question").select(
         T.is_blank(q).alias("blank"), (F.coalesce(F.length(q), F.lit(0)) <= 200).alias("fits"), F.coalesce(F.length(F.substring(q, 1, 80)), F.lit(0)).alias("logged_chars")
     )
     return rows.groupBy("blank", "fits").agg(F.count(F.lit(1)).alias("runs"), F.sum("logged_chars").alias("logged_chars"))
@@ -69,35 +70,55 @@ def usage_mismatch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def availability_30d(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.availability(_runs(spark, folder))
+    return telemetry.availability(_runs(spark, folder, "deployment", "log_ts", "status"))
 
 
 def growth_projection(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.growth(_runs(spark, folder))
+    return telemetry.growth(_runs(spark, folder, "deployment", "log_ts"))
 
 
 def trailing_use(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.trailing_use(_runs(spark, folder))
+    return telemetry.trailing_use(_runs(spark, folder, "deployment", "log_ts", "total_s"))
 
 
 def cost_attribution(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.cost_by_tag(_runs(spark, folder), table(spark, folder, "token_usage"))
+    return telemetry.cost_by_tag(_runs(spark, folder, "deployment", "query_id"), table(spark, folder, "token_usage"))
 
 
 def log_retention(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.retained(_runs(spark, folder), ok_days=5, error_days=6)
+    return telemetry.retained(_runs(spark, folder, "deployment", "log_ts", "status"), ok_days=5, error_days=6)
 
 
 def escalations(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.escalations(_runs(spark, folder))
+    return telemetry.escalations(_runs(spark, folder, "deployment", "log_ts", "status"))
 
 
 def windows_5m(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.windowed(_events(spark, folder))
+    return telemetry.windowed(_events(spark, folder)).drop("tokens")
+
+
+def windows_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly windows with the tokens of every kind of request, which stands for the model asked."""
+    return telemetry.windowed(_events(spark, folder), 60, "event_type").withColumnRenamed("event_type", "model")
 
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.alerts(telemetry.windowed(_events(spark, folder)), {"error_rate": "error_rate", "latency_p95": "latency_p95"})
+    """Alerts of all periods: request windows for rates and latencies, deployments with failed runs as hosts out of
+    order, the share of ten minutes that requests keep one worker busy, and days for the token budget."""
+    events = _events(spark, folder)
+    by_5 = telemetry.alerts(telemetry.windowed(events), {"error_rate": "error_rate", "latency_p95": "latency_p95"})
+    failed = _runs(spark, folder, "deployment", "log_ts", "status").filter((telemetry.status_of(F.col("status")) == "error") & F.col("ts").isNotNull())
+    hosts = failed.groupBy(F.window("ts", "2 minutes").alias("w")).agg(F.count_distinct("deployment").alias("unhealthy"))
+    by_2 = telemetry.alerts(hosts.select(F.col("w.start").alias("window_start"), "unhealthy"), {"unhealthy": "unhealthy"}, minutes=2)
+    load = events.groupBy(F.window(event_time(events, "ts"), "10 minutes").alias("w")).agg(F.round(F.sum("value") / 6.0, 4).alias("cpu"))
+    by_10 = telemetry.alerts(load.select(F.col("w.start").alias("window_start"), "cpu"), {"cpu": "cpu"}, minutes=10)
+    spent = token_budget(spark, folder).select(F.col("day").cast("timestamp").alias("window_start"), F.round(F.col("spent") / MONTHLY_TOKENS, 6).alias("budget_share"))
+    by_day = telemetry.alerts(spent, {"budget_share": "budget_share"}, minutes=1440)
+    return by_5.unionByName(by_2).unionByName(by_10).unionByName(by_day)
+
+
+def change_failure_rate(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.change_failure_rate(_runs(spark, folder, "deployment", "log_ts", "status"))
 
 
 def consumer_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,11 +143,11 @@ def quota_minutes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def error_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    return platform.error_patterns(_runs(spark, folder), "error_message", PATTERNS)
+    return platform.error_patterns(_runs(spark, folder, "error_message"), "error_message", PATTERNS)
 
 
 def resource_names(spark: SparkSession, folder: str) -> DataFrame:
-    named = _runs(spark, folder).select(platform.name_parts(F.col("deployment")).alias("n"))
+    named = _runs(spark, folder, "deployment").select(platform.name_parts(F.col("deployment")).alias("n"))
     return named.groupBy("n.project", "n.environment", "n.kind", "n.qualifier").agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -143,7 +164,7 @@ def _findings(spark: SparkSession, folder: str) -> list[DataFrame]:
     }
     return [
         platform.findings(table(spark, folder, "documents"), "doc_id", documents),
-        platform.findings(_runs(spark, folder), "run_id", timings),
+        platform.findings(_runs(spark, folder, "total_s", "status", "error_type"), "run_id", timings),
     ]
 
 
@@ -157,7 +178,7 @@ def findings_by_severity(spark: SparkSession, folder: str) -> DataFrame:
 
 def sla_breaches(spark: SparkSession, folder: str) -> DataFrame:
     """Failed runs as incidents: opened when logged, acknowledged when received; a timeout is P1, another failure P2."""
-    failed = _runs(spark, folder).filter(F.col("error_message").isNotNull() & F.col("ts").isNotNull())
+    failed = _runs(spark, folder, "error_message", "log_ts").filter(F.col("error_message").isNotNull() & F.col("ts").isNotNull())
     severity = F.when(F.col("error_message").contains("timed out"), "P1").otherwise("P2")
     incidents = failed.select(
         F.col("run_id").alias("incident_id"), severity.alias("severity"), F.col("ts").alias("opened"), F.col("received_at").alias("acknowledged"), F.col("received_at").alias("resolved")
@@ -167,7 +188,7 @@ def sla_breaches(spark: SparkSession, folder: str) -> DataFrame:
 
 def untraced_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Runs with a query_id for which no usage row exists."""
-    traced = _runs(spark, folder).filter(F.col("query_id").isNotNull()).select("run_id", "query_id")
+    traced = _runs(spark, folder, "query_id").filter(F.col("query_id").isNotNull()).select("run_id", "query_id")
     return platform.unknown_origins(traced, table(spark, folder, "token_usage"), "query_id")
 
 
@@ -175,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stage_summary, stage_top2, timing_table, timing_log_json, error_class, question_checks, usage_cost, usage_mismatch,
-        availability_30d, growth_projection, trailing_use, cost_attribution, log_retention, escalations, windows_5m, alerts,
+        availability_30d, growth_projection, trailing_use, cost_attribution, log_retention, escalations, windows_5m, windows_by_model, alerts, change_failure_rate,
         consumer_rate, consumer_anomalies, token_budget, scale_outs, quota_minutes, error_patterns, resource_names, rule_findings,
         findings_by_severity, sla_breaches, untraced_usage,
     )
@@ -187,6 +208,18 @@ stages AS (SELECT run_id, deployment, s.stage, s.pos, s.v FROM (
     SELECT run_id, deployment, unnest([{", ".join(f"{{'stage': '{s}', 'pos': {i}, 'v': {s}}}" for i, s in enumerate(telemetry.STAGES))}]) AS s FROM runs))
 """
 
+_MODELS = """
+SELECT event_type AS model, time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors,
+       CAST(sum(coalesce(CAST(props ->> '$.k' AS BIGINT), 0)) AS BIGINT) AS tokens, round(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / count(*), 6) AS error_rate,
+       round(quantile_cont(value, 0.5), 6) AS latency_p50, round(quantile_cont(value, 0.95), 6) AS latency_p95, round(quantile_cont(value, 0.99), 6) AS latency_p99
+FROM events GROUP BY 1, 2
+"""
+
+_BUDGET = """
+d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(coalesce(CAST(props ->> '$.k' AS BIGINT), 0)) AS BIGINT) AS tokens FROM events GROUP BY 1),
+r AS (SELECT strftime(day, '%Y-%m') AS month, day, tokens, CAST(sum(tokens) OVER (PARTITION BY strftime(day, '%Y-%m') ORDER BY day) AS BIGINT) AS spent FROM d)
+"""
+
 _WINDOWS = """
 w AS (
     SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors,
@@ -278,19 +311,42 @@ SELECT deployment, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS
 """,
     "escalations": f"""
 WITH {sql.RUNS},
-f AS (SELECT deployment, run_id, ts, CAST(ts AS DATE) AS day FROM runs WHERE lower(trim(status)) = 'error' AND ts IS NOT NULL),
-g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY deployment, day ORDER BY ts, run_id)) <= 900000000 THEN 0 ELSE 1 END AS fresh FROM f),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY deployment, day ORDER BY ts, run_id) AS island FROM g)
+f AS (SELECT deployment, run_id, ts FROM runs WHERE lower(trim(status)) = 'error' AND ts IS NOT NULL),
+g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY deployment ORDER BY ts, run_id)) <= 900000000 THEN 0 ELSE 1 END AS fresh FROM f),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY deployment ORDER BY ts, run_id) AS island FROM g)
 SELECT deployment, min(ts) AS started, max(ts) AS ended, count(*) AS failures, CASE WHEN count(*) >= 3 THEN 'P1' ELSE 'P2' END AS severity
-FROM i GROUP BY deployment, day, island
+FROM i GROUP BY deployment, island
+""",
+    "scale_outs": f"""
+WITH RECURSIVE m AS (SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > {SCALE_ABOVE}),
+s AS (
+    SELECT event_type, min(minute) AS minute FROM m GROUP BY event_type
+    UNION ALL SELECT s.event_type, min(m.minute) FROM s JOIN m ON m.event_type = s.event_type AND m.minute >= s.minute + INTERVAL 300 SECOND GROUP BY s.event_type)
+SELECT event_type, minute, requests FROM s JOIN m USING (event_type, minute)
+""",
+    "change_failure_rate": f"""
+WITH {sql.RUNS},
+t AS (SELECT deployment, ts, CAST(ts AS DATE) AS day, CASE WHEN lower(trim(status)) = 'error' THEN 1 ELSE 0 END AS bad FROM runs WHERE ts IS NOT NULL),
+d AS (SELECT deployment, day, min(ts) AS began FROM t GROUP BY 1, 2),
+c AS (SELECT * FROM (SELECT *, date_diff('day', lag(day) OVER (PARTITION BY deployment ORDER BY day), day) AS gap FROM d) WHERE gap IS NULL OR gap > 1),
+r AS (SELECT c.deployment, c.began, avg(bad) AS share FROM c JOIN t ON c.deployment = t.deployment AND t.ts >= c.began AND t.ts < c.began + INTERVAL 24 HOUR GROUP BY 1, 2)
+SELECT deployment, count(*) AS changes, count(*) FILTER (share > 0.05) AS failed, round(count(*) FILTER (share > 0.05) / count(*), 6) AS rate FROM r GROUP BY deployment
 """,
     "windows_5m": f"WITH {_WINDOWS} SELECT * FROM rated",
+    "windows_by_model": _MODELS,
     "alerts": f"""
-WITH {_WINDOWS},
-m AS (SELECT window_start, 'error_rate' AS metric, error_rate AS value FROM rated UNION ALL SELECT window_start, 'latency_p95', latency_p95 FROM rated),
-rules AS (SELECT * FROM (VALUES ('error_rate_high', 'error_rate', 0.05, 'P1'), ('latency_p95_high', 'latency_p95', 3.0, 'P2'),
-                                ('invocation_error_rate_high', 'error_rate', 0.01, 'P2')) AS t(alert, metric, threshold, severity))
-SELECT window_start, alert, severity, metric, value, CAST(threshold AS DOUBLE) AS threshold FROM m JOIN rules USING (metric) WHERE value > threshold
+WITH {_WINDOWS}, {_BUDGET}, {sql.RUNS},
+m AS (
+    SELECT window_start, 'error_rate' AS metric, 5 AS minutes, CAST(error_rate AS DOUBLE) AS value FROM rated
+    UNION ALL SELECT window_start, 'latency_p95', 5, latency_p95 FROM rated
+    UNION ALL SELECT time_bucket(INTERVAL 2 MINUTE, ts), 'unhealthy', 2, CAST(count(DISTINCT deployment) AS DOUBLE) FROM runs WHERE lower(trim(status)) = 'error' AND ts IS NOT NULL GROUP BY 1
+    UNION ALL SELECT time_bucket(INTERVAL 10 MINUTE, ts), 'cpu', 10, round(sum(value) / 6.0::DOUBLE, 4) FROM events GROUP BY 1
+    UNION ALL SELECT CAST(day AS TIMESTAMP), 'budget_share', 1440, round(spent / 1000000.0::DOUBLE, 6) FROM r),
+rules AS (SELECT * FROM (VALUES ('error_rate_high', 'error_rate', 5, 0.05, 'P1'), ('latency_p95_high', 'latency_p95', 5, 3.0, 'P2'),
+                                ('invocation_error_rate_high', 'error_rate', 5, 0.01, 'P2'), ('endpoint_unavailable', 'unhealthy', 2, 0.0, 'P1'),
+                                ('cpu_high', 'cpu', 10, 85.0, 'P3'),
+                                ('token_budget_high', 'budget_share', 1440, 0.8, 'P3')) AS t(alert, metric, minutes, threshold, severity))
+SELECT window_start, alert, severity, metric, value, CAST(threshold AS DOUBLE) AS threshold FROM m JOIN rules USING (metric, minutes) WHERE value > threshold
 """,
     "consumer_rate": """
 WITH s AS (SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(CAST(k AS INTEGER)) AS window_start FROM events, generate_series(0, 4) AS g(k))
@@ -301,9 +357,8 @@ WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM ev
 o AS (SELECT user_id, avg(requests) AS mean, stddev_pop(requests) AS spread FROM d GROUP BY 1)
 SELECT user_id, day, requests, round(mean, 6) AS mean, round(spread, 6) AS spread FROM d JOIN o USING (user_id) WHERE requests > mean + 2 * spread
 """,
-    "token_budget": """
-WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(coalesce(CAST(props ->> '$.k' AS BIGINT), 0)) AS BIGINT) AS tokens FROM events GROUP BY 1),
-r AS (SELECT strftime(day, '%Y-%m') AS month, day, tokens, CAST(sum(tokens) OVER (PARTITION BY strftime(day, '%Y-%m') ORDER BY day) AS BIGINT) AS spent FROM d)
+    "token_budget": f"""
+WITH {_BUDGET}
 SELECT month, day, tokens, spent, spent > 0.8 * 1000000 AS over FROM r
 """,
     "quota_minutes": """

@@ -12,7 +12,8 @@ from quillspark.functions import vector as V
 from quillspark.operators import index, layout, retrieval
 from quillspark.plans import sql
 from quillspark.plans.documents import chunk_table
-from quillspark.session import cut_lineage
+from quillspark.session import new_folder, written
+from quillspark.sources import artefacts
 from quillspark.sources.tables import table
 
 #: Asked are the rows whose id this divides, against all rows.
@@ -26,32 +27,64 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     return asked.groupBy("question").agg(F.min("run_id").alias("query_id"))
 
 
-def _index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = chunk_table(spark, folder).select("chunk_id", F.col("child").alias("text"))
-    posted, size = index.postings(chunks), index.corpus_size(chunks)
-    return posted, size, index.term_stats(posted, size)
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return index.tokenised(chunk_table(spark, folder), text="child")
 
 
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return _index(spark, folder)[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    tokens = _tokens(spark, folder)
+    found = index.term_stats(index.different_terms(tokens), index.corpus_size(tokens))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def doc_stats(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunk_table(spark, folder)
-    return chunks.select("chunk_id", F.size(T.tokens(F.col("child"))).alias("dl"))
+    return _tokens(spark, folder).select("chunk_id", F.size("terms").alias("dl"))
 
 
-def _lexical(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
-    chunks = chunk_table(spark, folder).select("chunk_id", F.col("child").alias("text"))
-    _, size, stats = _index(spark, folder)
-    return retrieval.bm25_scan(asked, chunks, size, stats, k=Settings().candidate_k)
+def _lexical(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """Lexical search over tokenised chunks, which are written once and read for the size, the statistics and the scan."""
+    tokens = written(tokens)
+    size = index.corpus_size(tokens)
+    return retrieval.bm25_scan(asked, tokens, size, index.term_stats(index.different_terms(tokens), size), k=Settings().candidate_k)
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    found = _lexical(spark, folder, questions(spark, folder))
+    found = _lexical(_tokens(spark, folder), questions(spark, folder))
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _document_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as one parent."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "source")
+    none = F.lit(None)
+    return documents.select(
+        F.col("doc_id").cast("string").alias("parent_id"), "source", F.lit(0).alias("page_number"), none.cast("string").alias("heading"), "text", none.cast("array<int>").alias("boundaries")
+    )
+
+
+def bm25_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``bm25_topk`` from a stored index, which got the documents in two batches, the second with the first once more."""
+    parents, at = _document_parents(spark, folder), new_folder(spark)
+    artefacts.add_to_index(parents.filter("CAST(parent_id AS BIGINT) % 3 = 0"), at)
+    artefacts.add_to_index(parents, at)
+    tables = artefacts.load_index(spark, at)
+    size, stats = artefacts.term_stats(tables)
+    found = retrieval.bm25(questions(spark, folder), tables["postings"], size, stats, Settings().candidate_k)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, stored): rows of each table of an index of the documents after its round trip, and the characters of its texts."""
+    at = new_folder(spark)
+    artefacts.add_to_index(_document_parents(spark, folder), at)
+    tables = artefacts.load_index(spark, at)
+    count = lambda name, df, value: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("stored"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total"))
+    out = count("parents", tables["parents"], F.length("text")).union(count("chunks", tables["chunks"], F.length("text")))
+    out = out.union(count("postings", tables["postings"], F.col("tf"))).union(count("doc_stats", tables["doc_stats"], F.col("dl")))
+    terms = tables["term_counts"].groupBy("term").agg(F.sum("df").alias("df"))
+    return out.union(count("term_counts", terms, F.col("df"))).union(count("embeddings", tables["embeddings"], F.lit(0)))
+
+
 def _asking(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id") % EVERY == 0)
 
@@ -111,12 +144,16 @@ def candidate_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of every traced question that pass the score filter, with the text of their page."""
+    """Candidates of every traced question that pass the score filter, with the text of their page.
+
+    Terms of questions and pages are made once, before they meet.
+    """
     traced = table(spark, folder, "rag_timings", "query_id", "question").filter(F.col("query_id").isNotNull() & F.col("question").isNotNull())
-    asked = traced.groupBy("query_id").agg(F.min("question").alias("question"))
+    asked = traced.groupBy("query_id").agg(F.min("question").alias("question")).withColumn("asked_terms", retrieval.question_terms(F.col("question")))
     places = candidates(spark, folder).groupBy("query_id", "chunk_id").agg(F.min("source").alias("source"), F.min("page_number").alias("page_number"))
     kept = retrieval.passes(_fused(spark, folder)).select("query_id", "chunk_id")
     pages = layout.page_text(table(spark, folder, "extracted_pages"))
+    pages = pages.repartition("source", "page_number").withColumn("given_terms", retrieval.question_terms(F.col("text")))
     return kept.join(places, ["query_id", "chunk_id"]).join(asked, "query_id").join(pages, ["source", "page_number"])
 
 
@@ -159,36 +196,53 @@ def text_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return _chunk_numbers(spark, folder).select("vec_id", "chunk_id", models.hashing_embedder()(prefixed).alias("embedding"))
 
 
-def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole pipeline for every asked question: embed, dense and lexical search, fusion, filter, MMR, rerank, parents, prompt."""
-    settings = Settings(min_score=0.05, passage_prefix="", query_prefix="")  # the stand-in counts shared words, prefixes too
+#: The stand-in embedder counts shared words, those of prefixes too, so there are none; its scores are low.
+OFFLINE = Settings(min_score=0.05, passage_prefix="", query_prefix="")
+
+
+def page_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """A stored index of the extracted pages: hierarchical parents, their chunks, both indexes."""
+    at = new_folder(spark)
+    artefacts.add_to_index(artefacts.parent_table(table(spark, folder, "extracted_pages"), OFFLINE), at, settings=OFFLINE)
+    return artefacts.load_index(spark, at)
+
+
+def retrieve(tables: dict[str, DataFrame], asked: DataFrame, settings: Settings = OFFLINE) -> tuple[DataFrame, DataFrame]:
+    """(fused hits, reranked parents) of (query_id, question) from a loaded index: dense and lexical search, fusion, score
+    filter, MMR and reranking over child chunks, then each child's parent."""
     embed = models.hashing_embedder()
-    chunks = _chunk_numbers(spark, folder)
-    asked = questions(spark, folder)
-    vectors = cut_lineage(chunks.withColumn("embedding", embed(F.concat(F.lit(settings.passage_prefix), F.col("text")))))
     asking = asked.select((-F.col("query_id") - 1).alias("vec_id"), embed(F.concat(F.lit(settings.query_prefix), F.col("question"))).alias("embedding"))
-    dense = retrieval.nearest(asking, vectors, settings.candidate_k).select((-F.col("query_id") - 1).alias("query_id"), "vec_id", F.col("score").alias("dense_score"))
-    lexical = _lexical(spark, folder, asked)
-    ids = vectors.select("vec_id", "chunk_id")
-    hits = dense.join(ids, "vec_id").select("query_id", "chunk_id", "dense_score", F.lit(None).cast("double").alias("lexical_score")).unionByName(
-        lexical.select("query_id", "chunk_id", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("lexical_score"))
+    dense = retrieval.nearest(asking, tables["embeddings"], settings.candidate_k).select((-F.col("query_id") - 1).alias("query_id"), "vec_id", F.col("score").alias("dense_score"))
+    lexical = _lexical(index.tokenised(tables["chunks"]), asked)
+    none = F.lit(None).cast("double")
+    hits = dense.join(tables["embeddings"].select("vec_id", "chunk_id"), "vec_id").select("query_id", "chunk_id", "dense_score", none.alias("lexical_score")).unionByName(
+        lexical.select("query_id", "chunk_id", none.alias("dense_score"), F.col("score").alias("lexical_score"))
     )
-    kept = retrieval.passes(retrieval.fuse(retrieval.ranked_lists(hits), settings), settings)
-    with_text = kept.join(vectors.select("chunk_id", "doc_id", "text", "embedding"), "chunk_id")
-    varied = retrieval.mmr(with_text.select(F.col("query_id").cast("string").alias("query_id"), "chunk_id", F.col("dense_score").alias("relevance"), "embedding"), settings)
-    pairs = (
-        varied.select(F.col("query_id").cast("long").alias("query_id"), "chunk_id")
-        .join(with_text.select("query_id", "chunk_id", "doc_id", "text"), ["query_id", "chunk_id"])
-        .join(asked, "query_id")
-    )
-    ranked = retrieval.rerank(pairs, settings).select("query_id", "question", "rank", "doc_id")
-    return retrieval.prompts(retrieval.with_parents(ranked, table(spark, folder, "documents", "doc_id", "text"), ["doc_id"]), dedup_parents=True)
+    fused = written(retrieval.fuse(retrieval.ranked_lists(hits), settings))
+    kept = retrieval.passes(fused, settings).join(tables["embeddings"].select("chunk_id", "embedding"), "chunk_id")
+    varied = retrieval.mmr(kept.select(F.col("query_id").cast("string").alias("query_id"), "chunk_id", F.col("dense_score").alias("relevance"), "embedding"), settings)
+    pairs = varied.select(F.col("query_id").cast("long").alias("query_id"), "chunk_id").join(tables["chunks"].select("chunk_id", "parent_id", "text"), "chunk_id").join(asked, "query_id")
+    ranked = retrieval.rerank(pairs, settings).select("query_id", "question", "rank", "parent_id")
+    return fused, retrieval.with_parents(ranked, tables["parents"].select("parent_id", "source", "page_number", "heading", "text"), ["parent_id"])
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole pipeline for every asked question, over the stored index of the pages, up to the prompt with the parents."""
+    return retrieval.prompts(retrieve(page_index(spark, folder), questions(spark, folder))[1], dedup_parents=True)
+
+
+def ask(tables: dict[str, DataFrame], question: str, settings: Settings = OFFLINE) -> DataFrame:
+    """The prompt of one question; raises ``NothingFound`` or ``NothingRelevant`` if no hit is there, or none good enough."""
+    asked = tables["chunks"].sparkSession.createDataFrame([(0, question)], "query_id long, question string")
+    fused, ranked = retrieve(tables, asked, settings)
+    retrieval.require(fused, retrieval.NothingFound)
+    return retrieval.prompts(retrieval.require(ranked, retrieval.NothingRelevant), dedup_parents=True)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        text_embeddings, answers, term_stats, doc_stats, bm25_topk, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
+        text_embeddings, answers, bm25_stored, stored_tables, term_stats, doc_stats, bm25_topk, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
         candidate_vectors, rerank_overlap, parent_substitution, context_prompt, chunk_cards,
     )
 }
@@ -252,6 +306,33 @@ scored AS (
     FROM posted JOIN terms USING (term) JOIN stats USING (term) GROUP BY query_id, chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 20
+""",
+    "stored_tables": f"""
+WITH {_BM25}
+SELECT 'parents' AS name, count(*) AS stored, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total FROM documents
+UNION ALL SELECT 'chunks', count(*), CAST(sum(length(child)) AS BIGINT) FROM chunks
+UNION ALL SELECT 'postings', count(*), CAST(sum(tf) AS BIGINT) FROM posted
+UNION ALL SELECT 'doc_stats', count(*), CAST(sum(len(ws)) AS BIGINT) FROM toks
+UNION ALL SELECT 'term_counts', count(*), CAST(sum(df) AS BIGINT) FROM stats
+UNION ALL SELECT 'embeddings', count(*), 0 FROM chunks
+""",
+    "mmr_select": """
+WITH RECURSIVE c AS (
+    SELECT query_id, chunk_id, max(faiss_score) AS rel, any_value(CAST(embedding AS DOUBLE[])) AS v FROM scored_chunks
+    WHERE isfinite(faiss_score) AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY query_id, chunk_id),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, chunk_id) AS r FROM c) WHERE r <= 20),
+sim AS (
+    SELECT x.query_id, x.r AS i, y.r AS j, CASE WHEN list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v) = 0 THEN 0.0 ELSE list_cosine_similarity(x.v, y.v) END AS s
+    FROM b AS x JOIN b AS y USING (query_id)),
+m AS (
+    SELECT query_id, 0 AS pos, [CAST(1 AS BIGINT)] AS picked FROM b WHERE r = 1
+    UNION ALL
+    SELECT query_id, pos + 1, list_append(picked, nxt) FROM (
+        SELECT m.query_id, m.pos, m.picked, b.r AS nxt,
+               row_number() OVER (PARTITION BY m.query_id ORDER BY round(0.5 * any_value(b.rel) - 0.5 * max(sim.s), 12) DESC, b.r) AS place
+        FROM m JOIN b USING (query_id) JOIN sim ON sim.query_id = m.query_id AND sim.j = b.r AND list_contains(m.picked, sim.i)
+        WHERE NOT list_contains(m.picked, b.r) GROUP BY m.query_id, m.pos, m.picked, b.r) WHERE place = 1)
+SELECT m.query_id, CAST(m.pos AS INTEGER) AS mmr_pos, b.chunk_id, round(b.rel, 6) AS relevance FROM m JOIN b ON b.query_id = m.query_id AND b.r = m.picked[-1]
 """,
     "knn_cosine": _knn(20, "list_cosine_similarity(q.v, e.v)"),
     "knn_l2_relevance": _knn(4, "1 - power(list_distance(q.v, e.v), 2) / sqrt(2.0)"),
@@ -293,3 +374,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, 'Chunk ' || rank || ' — ' || s
 FROM r WHERE rank <= 5
 """,
 }
+SQL["bm25_stored"] = SQL["bm25_topk"]

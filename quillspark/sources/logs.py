@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from quillspark.functions.times import utc_text
 from quillspark.operators.telemetry import STAGES
 
 TIMING_SCHEMA = S.StructType(
@@ -35,6 +36,11 @@ def records(timings: DataFrame) -> DataFrame:
     return done.select(*(seconds[STAGES.index(n)] if n in STAGES else F.col(n) for n in names))
 
 
+def stamped(timings: DataFrame) -> DataFrame:
+    """Records with ``log_ts`` set to the time of writing in UTC where it is missing."""
+    return timings.withColumn("log_ts", F.coalesce("log_ts", utc_text(F.current_timestamp())))
+
+
 def to_lines(timings: DataFrame) -> DataFrame:
     """(value): one JSON record per row, null fields kept."""
     rows = records(timings)
@@ -47,8 +53,8 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 
 def append_timings(timings: DataFrame, path: str) -> None:
-    """Append log records to a folder of JSON lines."""
-    records(timings).write.mode("append").json(path)
+    """Append log records to a folder of JSON lines; those without a time get that of writing."""
+    records(stamped(timings)).write.mode("append").json(path)
 
 
 def read_timings(spark: SparkSession, path: str) -> DataFrame:

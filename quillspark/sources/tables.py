@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Repeated keys that a join may send to every executor; more are shuffled with their rows.
+REPEATED_SENT = 200_000
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -19,3 +25,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with each key once, of repeated rows any one.
+
+    Only the keys are grouped, and only rows of repeated keys are shuffled, so long texts stay where they were read.
+    """
+    repeated = df.select(*(F.col(k).alias(f"_{k}") for k in keys)).groupBy(*(f"_{k}" for k in keys)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    count = repeated.count()
+    if not count:
+        return df
+    if count > REPEATED_SENT:
+        return df.dropDuplicates(keys)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    repeated = F.broadcast(repeated)
+    return df.join(repeated, same, "left_anti").union(df.join(repeated, same, "left_semi").dropDuplicates(keys))

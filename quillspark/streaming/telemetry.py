@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.functions.times import event_time, log_time
 from quillspark.sources import artefacts, logs
 
 
 def timing_stream(spark: SparkSession, path: str) -> DataFrame:
     """The timing log as a stream of records, with ``ts``."""
-    return spark.readStream.schema(logs.TIMING_SCHEMA).json(path).withColumn("ts", F.try_to_timestamp("log_ts"))
+    return spark.readStream.schema(logs.TIMING_SCHEMA).json(path).withColumn("ts", log_time(F.col("log_ts")))
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Request events as a stream; times without a zone are taken as UTC so that a watermark can be set."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.withColumn("ts", event_time(stream, "ts"))
 
 
 def first_lines(runs: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -80,7 +81,7 @@ def ingest_stream(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQu
     """Chunk each batch of new pages and append what the index does not have; a batch that comes again adds nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
-        artefacts.add_to_index(artefacts.chunk_pages(batch), folder)
+        artefacts.add_to_index(artefacts.parent_table(batch), folder)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

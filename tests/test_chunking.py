@@ -79,8 +79,20 @@ def test_recursive_chunks_rows(spark):
     assert set(got) == {1, 4} and all(len(c) <= 1000 for v in got.values() for c in v)
 
 
-def test_snap():
-    assert C.snap("", 0, 400, [], 80) == 320 and C.snap("", 0, 400, [100, 350, 390], 80) == 350
+def test_windows_snap_to_boundaries_in_the_overlap(spark):
+    def plain(n, bounds):
+        starts = [0]
+        while starts[-1] + 400 < n:
+            end = starts[-1] + 400
+            starts.append(min([b for b in bounds if max(end - 80, starts[-1] + 1) <= b < end], default=end - 80))
+        return starts
+
+    rows = [(i, "x" * n, b) for i, (n, b) in enumerate([(0, []), (400, [350]), (1500, []), (1500, None), (1500, [100, 350, 390, 700, 1040]), (1500, [399, 799, 1199]), (721, [320]), (5000, list(range(0, 5000, 37)))])]
+    df = spark.createDataFrame(rows, "n int, text string, b array<int>")
+    got = {}
+    for r in C.child_windows(df, ["n"], boundaries="b").collect():
+        got.setdefault(r.n, []).append(r.start)
+    assert {i: sorted(got.get(i, [])) for i, t, b in rows} == {i: plain(len(t), b or []) if t else [] for i, t, b in rows}
 
 
 def test_settings_are_checked():

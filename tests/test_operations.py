@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import times
 from quillspark.operators import platform as P
 from quillspark.operators import telemetry as M
 from quillspark.sources import artefacts, logs
@@ -54,6 +56,55 @@ def test_escalations(spark):
     assert got == [(1, "P2"), (3, "P1")]
 
 
+def test_escalations_over_midnight_and_hours(spark):
+    at = lambda m: (dt.datetime(2026, 5, 4, 23, 50) + dt.timedelta(minutes=m)).isoformat() + "Z"
+    rows = [line(i, at(m), "error", "x") for i, m in enumerate((0, 5, 11, 15, 70, 86, 101))]
+    got = sorted((r.started.isoformat()[11:16], r.failures, r.severity) for r in M.escalations(M.runs(timings(spark, *rows), "deployment", "log_ts", "status")).collect())
+    assert got == [("01:00", 1, "P2"), ("01:16", 2, "P2"), ("23:50", 4, "P1")]
+
+
+def test_islands_against_a_walk(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab") if rng.random() < 0.9 else None, dt.datetime(2026, 1, 1, 22) + dt.timedelta(seconds=rng.randint(0, 40_000))) for _ in range(400)] * 2
+    df = spark.createDataFrame(rows, "k string, ts timestamp").withColumn("_keep", F.lit(1))
+    for closed in (True, False):
+        got = sorted((r.k or "", r.ts, r.island) for r in M.islands(df, "k", "ts", 120, closed).collect())
+        last, number = {}, {}
+        for k, ts, island in got:
+            gap = (ts - last[k]).total_seconds() if k in last else 1e9
+            number[k] = number.get(k, 0) + (gap > 120 or (gap == 120 and not closed))
+            last[k] = ts
+            assert island == number[k]
+
+
+def test_alert_rules_of_every_period(spark):
+    at = dt.datetime(2026, 1, 1)
+    windows = spark.createDataFrame([(at, 0.1, 0.0, 90.0, 95.0, 0.9, None)], "window_start timestamp, e double, u double, c double, m double, b double, n double")
+    names = lambda minutes, **m: sorted(r.alert for r in M.alerts(windows, m, minutes).collect())
+    assert names(5, error_rate="e", latency_p95="n") == ["error_rate_high", "invocation_error_rate_high"]
+    assert names(2, unhealthy="u") == [] and names(10, cpu="c", memory="m") == ["cpu_high", "memory_high"] and names(1440, budget_share="b") == ["token_budget_high"]
+
+
+def test_times_do_not_depend_on_the_session(spark):
+    rows = [("2026-05-04T23:30:00-02:00",), ("2026-05-04T10:00:00Z",), ("2026-05-04T10:00:00",), ("no time",), (None,)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ts = times.log_time(F.col("t"))
+        got = spark.createDataFrame(rows, "t string").select(F.unix_seconds(ts).alias("s"), times.utc_day(ts).cast("string").alias("d"), times.utc_text(ts).alias("x")).collect()
+        event = spark.sql("SELECT timestamp_ntz'2026-05-04 10:00:00' AS ts")
+        assert event.select(F.unix_seconds(times.event_time(event, "ts")).alias("s")).first().s == got[1].s
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.d for r in got] == ["2026-05-05", "2026-05-04", "2026-05-04", None, None] and got[1].s == got[2].s
+    assert [r.x for r in got][:2] == ["2026-05-05T01:30:00.000000+00:00", "2026-05-04T10:00:00.000000+00:00"]
+
+
+def test_change_failure_rate(spark):
+    rows = [line(1, "2026-05-04T10:00:00Z"), line(2, "2026-05-05T10:00:00Z", "error", "x"), line(3, "2026-05-08T10:00:00Z", "error", "x"), line(4, "2026-05-08T11:00:00Z")]
+    assert [tuple(r) for r in M.change_failure_rate(M.runs(timings(spark, *rows))).collect()] == [("rag-east-01", 2, 1, 0.5)]
+
+
 def test_scale_out_cooldown(spark):
     start = dt.datetime(2026, 1, 1)
     rows = [(start + dt.timedelta(minutes=m, seconds=s), "view") for m in (0, 1, 4, 5, 6) for s in range(3)]
@@ -90,12 +141,37 @@ def test_ingest_twice_adds_once_and_bad_files_are_rows(spark, tmp_path):
     read = artefacts.read_pages(spark, str(folder))
     rows = read.collect()
     assert sum(r.error is not None for r in rows) == 1 and sum(r.error is None for r in rows) == 2
-    chunks = artefacts.chunk_pages(read.filter("error IS NULL").drop("error"))
+    parents = artefacts.parent_table(read.filter("error IS NULL").drop("error"))
     with pytest.raises(artefacts.IndexMissing):
         artefacts.load_index(spark, out)
-    first = artefacts.add_to_index(chunks, out)
-    assert first > 3 and artefacts.add_to_index(chunks, out) == 0
-    assert artefacts.load_index(spark, out)["chunks"].count() == first == artefacts.load_index(spark, out)["doc_stats"].count()
+    first = artefacts.add_to_index(parents, out)
+    assert first == 3 and artefacts.add_to_index(parents, out) == 0
+    tables = artefacts.load_index(spark, out)
+    assert tables["parents"].count() == 3 < tables["chunks"].count() == tables["doc_stats"].count() == tables["embeddings"].count()
+
+
+def test_a_broken_ingest_is_not_seen_and_can_be_done_again(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "index")
+    schema = "source string, page_number int, blocks array<string>, section_boundaries array<int>, body_font_size double"
+    page = lambda n: artefacts.parent_table(spark.createDataFrame([("d", n, [f"Head {n}\ntext of page {n}"], [0], 10.0)], schema))
+    assert artefacts.add_to_index(page(0), out) == 1
+    with monkeypatch.context() as m:
+        m.setattr(artefacts, "COMMITS", "commits\0")
+        m.setattr(artefacts, "load_index", lambda spark, folder: {"parents": spark.read.parquet(f"{folder}/parents")})
+        with pytest.raises(Exception):
+            artefacts.add_to_index(page(1), out)
+    assert artefacts.load_index(spark, out)["postings"].select("chunk_id").distinct().count() == 1
+    assert artefacts.add_to_index(page(1), out) == 1 and artefacts.add_to_index(page(1), out) == 0
+    tables = artefacts.load_index(spark, out)
+    assert {t: tables[t].count() for t in ("parents", "chunks", "doc_stats", "embeddings")} == dict.fromkeys(("parents", "chunks", "doc_stats", "embeddings"), 2)
+    assert tables["term_counts"].filter("term = 'Head'").agg(F.sum("df")).first()[0] == 2
+
+
+def test_ids_stay_when_a_section_is_put_before(spark):
+    schema = "source string, page_number int, blocks array<string>, section_boundaries array<int>, body_font_size double"
+    pages = lambda *rows: spark.createDataFrame([("d", n, [t], [0], 10.0) for n, t in rows], schema)
+    ids = lambda df: {r.parent_id for r in artefacts.parent_table(df).collect()}
+    assert ids(pages((3, "Third\ntext"))) < ids(pages((1, "First\ntext"), (3, "Third\ntext")))
 
 
 def test_stream_equals_batch_for_closed_windows(spark, data, tmp_path):

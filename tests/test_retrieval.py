@@ -7,8 +7,10 @@ from quillspark.functions import models
 from quillspark.functions import vector as V
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
+from quillspark.plans import search
 from quillspark.plans.documents import chunk_table
 from quillspark.plans.search import questions
+from quillspark.sources import artefacts
 
 
 def lists(spark, rows):
@@ -56,26 +58,28 @@ def test_mmr_golden(spark):
 
 def test_bm25_golden(spark):
     chunks = spark.createDataFrame([("d1", "a b"), ("d2", "a c"), ("d3", "d e")], "chunk_id string, text string")
-    posted, size = I.postings(chunks), I.corpus_size(chunks)
+    tokens = I.tokenised(chunks)
+    posted, size = I.postings(chunks), I.corpus_size(tokens)
     stats = I.term_stats(posted, size)
     assert round(stats.filter("term = 'a'").first().idf, 6) == 0.076624
     asked = spark.createDataFrame([("q", "a b"), ("none", "zzz"), ("blank", " "), ("null", None)], "query_id string, question string")
     got = {r.chunk_id: round(r.score, 6) for r in R.bm25(asked, posted, size, stats, 5).collect()}
     assert got == {"d1": 0.587449, "d2": 0.076624}
-    again = {r.chunk_id: round(r.score, 6) for r in R.bm25_scan(asked, chunks, size, stats, 5).collect()}
+    again = {r.chunk_id: round(r.score, 6) for r in R.bm25_scan(asked, tokens, size, stats, 5).collect()}
     assert again == got
 
 
 def test_bm25_scan_equals_the_join(spark, data, monkeypatch):
     chunks = chunk_table(spark, data).select("chunk_id", F.col("child").alias("text"))
-    size, posted = I.corpus_size(chunks), I.postings(chunks)
+    tokens = I.tokenised(chunks)
+    size, posted = I.corpus_size(tokens), I.postings(chunks)
     stats = I.term_stats(posted, size)
     asked = questions(spark, data)
     rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
     want = rows(R.bm25(asked, posted, size, stats, 6))
     monkeypatch.setattr(R, "QUESTION_ROWS", 7)
-    assert rows(R.bm25_scan(asked, chunks, size, stats, 6)) == want and want
-    assert R.bm25_scan(asked.limit(0), chunks, size, stats, 6).count() == 0
+    assert rows(R.bm25_scan(asked, tokens, size, stats, 6)) == want and want
+    assert R.bm25_scan(asked.limit(0), tokens, size, stats, 6).count() == 0
 
 
 @pytest.mark.parametrize(("a", "b", "cos", "rel"), [([1.0, 0.0], [1.0, 0.0], 1.0, 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0, -0.414214), ([0.0, 0.0], [1.0, 0.0], 0.0, 0.292893)])
@@ -119,3 +123,19 @@ def test_incremental_and_distinct(spark):
     assert [r.key for r in I.new_chunks(new, old, ["key"]).collect()] == ["b"]
     docs = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None), (5, "")], "doc_id long, text string").withColumn("copies", F.lit("z"))
     assert sorted((r.doc_id, r.copies) for r in I.distinct_texts(docs).collect()) == [(1, 2), (3, 2), (5, 1)]
+
+
+def test_postings_count_terms(spark):
+    df = spark.createDataFrame([("a", "b a b  c b"), ("e", " "), ("n", None), ("x", "z")], "chunk_id string, text string")
+    assert sorted(tuple(r) for r in I.postings(df).collect()) == [("a", 5, "a", 1), ("a", 5, "b", 3), ("a", 5, "c", 1), ("x", 1, "z", 1)]
+
+
+def test_one_question_without_results_raises(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 0, ["the quick fox jumps over lazy dogs"], [0], 10.0)], "source string, page_number int, blocks array<string>, section_boundaries array<int>, body_font_size double")
+    artefacts.add_to_index(artefacts.parent_table(pages, search.OFFLINE), str(tmp_path / "i"), settings=search.OFFLINE)
+    tables = artefacts.load_index(spark, str(tmp_path / "i"))
+    assert "quick fox" in search.ask(tables, "quick fox").first().prompt
+    with pytest.raises(R.NothingFound):
+        search.ask(tables, " ")
+    with pytest.raises(R.NothingRelevant):
+        search.ask(tables, "zebra", Settings(min_score=1.0, passage_prefix="", query_prefix=""))
