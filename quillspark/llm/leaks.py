@@ -1,7 +1,7 @@
 """Evaluation passages inside corpus documents, by pigeonhole edit matching.
 
-A passage is ``RUN`` consecutive words of an item. It is split into ``max_edits + 1`` pieces of whole words;
-a document within ``max_edits`` character edits of the passage must contain one of the pieces unchanged.
+A passage is ``RUN`` consecutive words of an item. It is split into ``max_edits + 1`` pieces that have no character
+in common, so a document within ``max_edits`` character edits of the passage must contain one of them unchanged.
 Pieces are found by one automaton over the normalised document, and each hit is verified with Myers'
 bit-parallel distance on the text around it.
 """
@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import written
+
 RUN = 12
 MAX_EDITS = 1
-#: Characters of item text that go to the executors at once; a larger item table is matched in several passes.
-PASS_CHARS = 8_000_000
+#: Characters of item text that go to the executors at once, about 300 MB in a Python worker; a larger item table is
+#: matched in several passes.
+PASS_CHARS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 #: Anything but letters and digits: separators, and the numerals and marks that belong to neither.
@@ -83,31 +86,40 @@ class Matcher:
         self.run, self.max_edits = run, max_edits
         cuts = [round(k * run / (max_edits + 1)) for k in range(max_edits + 2)]
         self.items = [(item, words(text)) for item, text in items]
-        counts = Counter(chain.from_iterable(w for _, w in self.items))
-        where: dict[str, list[tuple[int, int, int, frozenset[str]]]] = {}
-        for k, (_, item_words) in enumerate(self.items):
-            for start in range(len(item_words) - run + 1):
-                for a, b in zip(cuts, cuts[1:]):
-                    own = item_words[start : start + run]
-                    # an edit spoils at most two words, so of 2 * max_edits + 1 words beside the piece one is left whole
-                    beside = sorted({*own[:a], *own[b:]}, key=lambda w: (counts[w], w))[: 2 * max_edits + 1]
-                    rare = frozenset(beside if len(beside) > 2 * max_edits else ())
-                    where.setdefault(f" {' '.join(own[a:b])} ", []).append((k, start, a, rare))
+        self.counts = Counter(chain.from_iterable(w for _, w in self.items))
         self.automaton = ahocorasick.Automaton()
-        for piece, places in where.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        if where:
+        self.longest = 0
+        for k, (_, own) in enumerate(self.items):
+            for start in range(len(own) - run + 1):
+                self.longest = max(self.longest, sum(map(len, own[start : start + run])) + run + 1)
+                for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    # the blank between two pieces belongs to the first of them
+                    piece = " " * (n == 0) + " ".join(own[start + a : start + b]) + " "
+                    length, places = self.automaton.get(piece, (len(piece), ()))
+                    self.automaton.add_word(piece, (length, (*places, (k, start, a, b))))
+        self.any = len(self.automaton) > 0
+        if self.any:
             self.automaton.make_automaton()
-        self.any = bool(where)
-        self.longest = max((sum(map(len, w[i : i + run])) + run + 1 for _, w in self.items for i in range(len(w) - run + 1)), default=0)
         self.passages: dict[tuple[int, int], tuple[str, list[int], frozenset[str]]] = {}
+        self.rare: dict[tuple[int, int, int, int], frozenset[str]] = {}
+
+    def beside(self, place: tuple[int, int, int, int]) -> frozenset[str]:
+        """Words of a passage outside a piece of which one must be left whole: an edit spoils at most two. None if there are too few."""
+        known = self.rare.get(place)
+        if known is None:
+            k, start, a, b = place
+            own = self.items[k][1][start : start + self.run]
+            least = 2 * self.max_edits + 1
+            picked = sorted({*own[:a], *own[b:]}, key=lambda w: (self.counts[w], w))[:least]
+            known = self.rare[place] = frozenset(picked if len(picked) == least else ())
+        return known
 
     def passage(self, k: int, start: int) -> tuple[str, list[int], frozenset[str]]:
         """Text of a passage with blanks around, the offset of each of its words, and its trigrams."""
         known = self.passages.get((k, start))
         if known is None:
             own = self.items[k][1][start : start + self.run]
-            offsets, at = [], 0
+            offsets, at = [], 1
             for w in own:
                 offsets.append(at)
                 at += len(w) + 1
@@ -126,7 +138,9 @@ class Matcher:
             at = end - length + 1
             around = body[max(0, at - spread) : end + spread]
             near, near_grams = set(around.split()), None
-            for k, start, first, rare in places:
+            for place in places:
+                k, start, first, _ = place
+                rare = self.beside(place)
                 if rare and rare.isdisjoint(near):
                     continue
                 passage, offsets, grams = self.passage(k, start)
@@ -136,11 +150,11 @@ class Matcher:
                 own = found.setdefault(k, {})
                 if own.get(start) == 0:
                     continue
-                begin = at - offsets[first]
+                begin = at - offsets[first] if first else at
                 if begin >= 0 and body.startswith(passage, begin):
                     own[start] = 0
                     continue
-                window = body[max(0, begin - self.max_edits) : begin + len(passage) + self.max_edits]
+                window = body[max(0, begin - self.max_edits) : max(0, begin + len(passage) + self.max_edits)]
                 distance = myers(passage, window, self.max_edits)
                 if distance <= self.max_edits:
                     own[start] = min(distance, own.get(start, distance))
@@ -167,26 +181,35 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], run: int, max_ed
     return documents.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, distance int, passages int")
 
 
+def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of at most ``PASS_CHARS`` characters (a longer item is a list of its own), one list at a time."""
+    part: list[tuple[int, str]] = []
+    size = 0
+    for row in items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct().toLocalIterator():
+        if size + len(row.text) > PASS_CHARS and part:
+            yield part
+            part, size = [], 0
+        part.append((row.item_id, row.text))
+        size += len(row.text)
+    yield part
+
+
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, max_edits: int = MAX_EDITS) -> DataFrame:
     """(doc_id, item_id, distance, passages) for every document with a passage of the item within ``max_edits``.
 
     ``distance`` is the least number of character edits over the item's passages, 0 for ``run`` consecutive
     words as they stand; ``passages`` counts the passages found. Null or empty texts and items of fewer than
     ``run`` words match nothing; repeated rows of either table count once. The document side is a narrow map.
-    The items go to the executors in passes of at most ``PASS_CHARS`` characters, so that what is sent stays
-    bounded while every item is searched; at the usual size that is one pass.
+    The items go to the executors in passes of at most ``PASS_CHARS`` characters, of which the driver holds one at
+    a time; at the usual size that is one pass, and of several each writes what it found before the next.
     """
     if run < max_edits + 1:
         raise ValueError("a passage needs at least max_edits + 1 words")
-    passes: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct().toLocalIterator():
-        size += len(row.text)
-        if size > PASS_CHARS and passes[-1]:
-            passes.append([])
-            size = len(row.text)
-        passes[-1].append((row.item_id, row.text))
-    out = _search(documents, passes[0], run, max_edits)
-    for more in passes[1:]:
-        out = out.union(_search(documents, more, run, max_edits))
+    passes = _passes(items)
+    out, following = _search(documents, next(passes), run, max_edits), next(passes, None)
+    if following is not None:
+        out = written(out)
+    while following is not None:
+        out = out.union(written(_search(documents, following, run, max_edits)))
+        following = next(passes, None)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("passages").alias("passages"))

@@ -154,6 +154,15 @@ reach AS (
     UNION SELECT r.query_id, r.x, l.y FROM reach AS r JOIN links AS l ON r.query_id = l.query_id AND r.y = l.x),
 grouped AS (SELECT query_id, x AS chunk_id, min(y) AS g FROM reach GROUP BY query_id, x)
 SELECT query_id, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id FROM grouped JOIN c USING (query_id, chunk_id) GROUP BY query_id, g
+""",
+    "p3_found": """
+WITH c AS (
+    SELECT chunk_id, any_value(CAST(embedding AS DOUBLE[])) AS v FROM scored_chunks
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY chunk_id),
+s AS (SELECT a.chunk_id AS x, b.chunk_id AS y, list_cosine_similarity(a.v, b.v) AS cosine FROM c AS a JOIN c AS b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT x, y, cosine, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS place FROM s)
+SELECT DISTINCT least(x, y) AS chunk_a, greatest(x, y) AS chunk_b FROM r WHERE place <= 10 AND cosine >= 0.92
 """,
     "p4_found": f"""
 WITH {_RUNS}
@@ -194,5 +203,28 @@ runs AS (
     SELECT doc_id, ' ' || array_to_string(list_slice(ws, i, i + 11), ' ') || ' ' AS passage
     FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 11)) AS i FROM words WHERE len(ws) >= 12))
 SELECT DISTINCT doc_id, item_id FROM runs JOIN p USING (passage)
+""",
+    "p7_near": r"""
+WITH d AS (
+    SELECT DISTINCT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM eval_items WHERE text IS NOT NULL),
+p AS (
+    SELECT item_id, ws, i, ' ' || array_to_string(list_slice(ws, i, i + 11), ' ') || ' ' AS passage,
+           ' ' || array_to_string(list_slice(ws, i, i + 5), ' ') || ' ' AS head
+    FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 12)),
+pieces AS (
+    SELECT item_id, i, passage, head AS piece, 0 AS before, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS five FROM p
+    UNION ALL SELECT item_id, i, passage, substring(passage, length(head) + 1, length(passage)), length(head), array_to_string(list_slice(ws, i + 7, i + 11), ' ') FROM p),
+fives AS (
+    SELECT DISTINCT doc_id, t, array_to_string(list_slice(string_split(trim(t), ' '), k, k + 4), ' ') AS five
+    FROM (SELECT doc_id, t, unnest(generate_series(1, len(string_split(trim(t), ' ')) - 4)) AS k FROM d)),
+hits AS (SELECT DISTINCT doc_id, t, item_id, i, passage, piece, before FROM fives JOIN pieces USING (five) WHERE contains(t, piece)),
+places AS (
+    SELECT doc_id, t, item_id, i, passage, spot - before AS start
+    FROM (SELECT *, unnest(generate_series(1, length(t) - length(piece) + 1)) AS spot FROM hits) WHERE substring(t, spot, length(piece)) = piece),
+tried AS (
+    SELECT doc_id, item_id, i, levenshtein(passage, substring(t, greatest(1, start + a), length(passage) + b)) AS distance
+    FROM places, (VALUES (-1), (0), (1)) AS x(a), (VALUES (-1), (0), (1)) AS y(b))
+SELECT doc_id, item_id, CAST(min(distance) AS INTEGER) AS distance, CAST(count(DISTINCT i) AS INTEGER) AS passages FROM tried WHERE distance <= 1 GROUP BY doc_id, item_id
 """,
 }

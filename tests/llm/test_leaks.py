@@ -76,6 +76,18 @@ def test_every_passage_within_the_budget_is_found():
         assert hit and hit[0][1] == plain_distance(f" {text} ", leaks.normal("before " + "".join(body) + " after"))
 
 
+def test_one_edit_at_every_character_is_found():
+    own = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
+    for edits in (1, 2):
+        m = leaks.Matcher([(1, own)], 12, edits)
+        for at in range(len(own)):
+            for body in (own[:at] + own[at + 1 :], own[:at] + "x" + own[at:], own[:at] + "x" + own[at + 1 :], own[:at] + " " + own[at:], own[:at] + "ß" + own[at + 1 :]):
+                for text in (body, "before " + body + " after", "b" + body, body + "a"):
+                    distance = plain_distance(f" {own} ", leaks.normal(text))
+                    hit = m.find(text)
+                    assert (bool(hit) and hit[0][1] == distance) if distance <= edits else not hit
+
+
 def test_item_passes_and_empty_tables(spark, monkeypatch):
     docs, items = make(8)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
