@@ -1,17 +1,18 @@
 """Exact percentiles per group over very large columns, from one distributed sort.
 
-All values are range-partitioned and sorted by (group, value), so a group of any size is spread over as many
-partitions as it needs. The rows of each group are counted per partition, the counts give the offset of every
-partition in its group, and the offsets say in which partition and row each wanted order statistic lies. Only
-those rows are read again, and neighbouring ones are interpolated.
+All values are range-partitioned and sorted by (group, value, tie), so a group of any size, and a value that
+stands in it any number of times, is spread over as many partitions as it needs. The rows of each group are counted
+per partition, the counts give the offset of every partition in its group, and the offsets say in which partition
+and row each wanted order statistic lies. These are looked up by row number, and neighbouring ones are interpolated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import cut_lineage
+from quillspark.functions.times import log_time, utc_day
+from quillspark.session import written
 
 MEASURES = ("llm_generate_s", "total_s")
 PERCENTS = (50, 95)
@@ -20,15 +21,15 @@ LEAST_VALUES = 20
 SLOW = (("llm_generate_s", 50, 9.0), ("llm_generate_s", 95, 25.0), ("total_s", 50, 20.0), ("total_s", 95, 40.0))
 
 
-def sorted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """``groups`` and ``value`` in one total order, with ``row_id``: the partition in the high bits, the row in it below.
+def sorted_values(df: DataFrame, groups: list[str], value: str, tie: str | None = None) -> DataFrame:
+    """``groups``, ``value`` and ``tie`` in one total order, with ``row_id``: the partition in the high bits, the row in it below.
 
-    Null and NaN values are dropped; null group keys form groups of their own. The result is written to the
-    shared checkpoint folder, so row ids stay the same when it is read again or an executor is lost.
+    Null and NaN values are dropped; null group keys form groups of their own. Column ``tie`` spreads equal values. The
+    result is a Parquet table in the shared folder, so row ids stay the same when it is read again or an executor is lost.
     """
-    clean = df.select(*groups, value).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ordered = clean.repartitionByRange(*groups, value).sortWithinPartitions(*groups, value)
-    return cut_lineage(ordered.withColumn("row_id", F.monotonically_increasing_id()))
+    clean = df.select(*groups, value, (F.col(tie) if tie else F.lit(0)).alias("tie")).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ordered = clean.repartitionByRange(*groups, value, "tie").sortWithinPartitions(*groups, value, "tie")
+    return written(ordered.withColumn("row_id", F.monotonically_increasing_id()))
 
 
 def percentiles(ordered: DataFrame, groups: list[str], value: str, percents: tuple[int, ...] = PERCENTS, least: int = 1) -> DataFrame:
@@ -62,13 +63,8 @@ def percentiles(ordered: DataFrame, groups: list[str], value: str, percents: tup
     )
 
 
-def log_time(c: Column) -> Column:
-    """ISO-8601 text with any offset to a timestamp; null if it is none."""
-    return F.try_to_timestamp(c)
-
-
 def ok_values(timings: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """(deployment, day, measure, value) of the runs that ended well, one row per run and measure.
+    """(deployment, day, measure, value, tie) of the runs that ended well, one row per run and measure; ``tie`` is a hash of the run.
 
     A run counts once by run_id, whatever the number of its lines; its status is compared without letter case
     and blanks around it. Values that are null, NaN or negative, runs without a readable time, and rows with a
@@ -81,30 +77,37 @@ def ok_values(timings: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataF
         .select("run_id", F.struct("deployment", "log_ts", *measures).alias("line"))
         .groupBy("run_id")
         .agg(F.min("line").alias("line"))
-        .select("line.*")
+        .select(F.xxhash64("run_id").alias("tie"), "line.*")
     )
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures)))
     return (
-        runs.withColumn("day", F.to_date(log_time(F.col("log_ts"))))
+        runs.withColumn("day", utc_day(log_time(F.col("log_ts"))))
         .filter(F.col("day").isNotNull())
-        .select("deployment", "day", pairs.alias("p"))
-        .select("deployment", "day", "p.measure", "p.value")
+        .select("deployment", "day", "tie", pairs.alias("p"))
+        .select("deployment", "day", "p.measure", "p.value", "tie")
         .filter((F.col("value") >= 0) & ~F.isnan("value"))
     )
 
 
-def period_percentiles(timings: DataFrame, percents: tuple[int, ...] = PERCENTS, least: int = LEAST_VALUES) -> DataFrame:
-    """(deployment, period, start_day, measure, pct, n, percentile) per day and per week (Monday to Sunday, UTC).
+DAY_KEYS = ["deployment", "day", "measure"]
 
-    What is kept for the days is their sorted values; the weeks are sorted anew from those, without a second
-    look at the log, so their percentiles are exact as well.
-    """
-    day_keys = ["deployment", "day", "measure"]
-    kept = sorted_values(ok_values(timings), day_keys, "value")
-    weekly = kept.select("deployment", F.trunc("day", "week").alias("day"), "measure", "value")
+
+def day_values(timings: DataFrame) -> DataFrame:
+    """What is kept for the days: their values in order. Tables kept by several runs, each for its days, can be put together by union."""
+    return sorted_values(ok_values(timings), DAY_KEYS, "value", "tie")
+
+
+def weeks_of(kept: DataFrame) -> DataFrame:
+    """The values of weeks (Monday to Sunday) in order, from those kept for days, without another look at the log."""
+    return sorted_values(kept.withColumn("day", F.trunc("day", "week")), DAY_KEYS, "value", "tie")
+
+
+def period_percentiles(timings: DataFrame, percents: tuple[int, ...] = PERCENTS, least: int = LEAST_VALUES) -> DataFrame:
+    """(deployment, period, start_day, measure, pct, n, percentile) per day and per week (Monday to Sunday, UTC); all exact."""
+    kept = day_values(timings)
     out = None
-    for period, ordered in (("day", kept), ("week", sorted_values(weekly, day_keys, "value"))):
-        part = percentiles(ordered, day_keys, "value", percents, least).select(
+    for period, ordered in (("day", kept), ("week", weeks_of(kept))):
+        part = percentiles(ordered, DAY_KEYS, "value", percents, least).select(
             "deployment", F.lit(period).alias("period"), F.date_format("day", "yyyy-MM-dd").alias("start_day"), "measure", "pct", "n", "percentile"
         )
         out = part if out is None else out.union(part)
