@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.tables import once
+
 MAX_CHARS = 1500
 MIN_CHARS = 500
 OVERLAP = 80
@@ -188,11 +190,11 @@ def split_sections(pages: DataFrame, max_chars: int = MAX_CHARS, min_chars: int
 def pieces(pages: DataFrame, **sizes: int) -> DataFrame:
     """One row per piece: (source, page_number, section_start, piece_no, piece_start, piece_text).
 
-    ``piece_start`` is the offset in the page text. Repeated page rows count once.
+    ``piece_start`` is the offset in the page text. Repeated page rows count once; no text of other pages is shuffled.
     """
     keys = ["source", "page_number", "section_start"]
     return (
-        split_sections(pages, **sizes)
+        split_sections(once(pages.select("source", "page_number", "blocks", "section_boundaries"), ["source", "page_number"]), **sizes)
         .select(*keys, "lead", "body", F.posexplode("pieces").alias("piece_no", "p"))
         .select(
             *keys,
@@ -200,7 +202,6 @@ def pieces(pages: DataFrame, **sizes: int) -> DataFrame:
             (F.col("section_start") + F.col("lead") + F.col("p.piece_start")).alias("piece_start"),
             F.substring(F.col("body"), F.col("p.piece_start") + 1, F.col("p.piece_end") - F.col("p.piece_start")).alias("piece_text"),
         )
-        .dropDuplicates([*keys, "piece_no"])
     )
 
 
