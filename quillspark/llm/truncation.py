@@ -3,7 +3,8 @@
 Every source's lengths give the limits at which its texts pile up. Intact texts of a bounded sample are cut on
 purpose, at random places and at limits, which makes the positives; the texts as they stand, and parts of them
 that end with a line, are the negatives. The features are closing characters, punctuation, what is left open
-(quotes, brackets, code fences, table rows), the last words, and the distance to the limit.
+(quotes, brackets, code fences, table rows), the last words, whether the last one is known to the corpus, and the
+distance to the limit.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ THRESHOLD = 0.5
 LEAST_PILED, SHARE_PILED, LEAST_LIMIT = 4, 0.01, 100
 #: Parts ending with a line that are made of each text.
 LINE_ENDS = 3
-#: Times a word must stand in the sample to count as known.
+#: Times a word must stand in the corpus, not at the end of a text, to count as known.
 KNOWN = 3
+#: Share of the whole texts made examples of a length that happens to be a limit, or near one.
+BY_CHANCE, NEAR_BY_CHANCE = 0.02, 0.04
+#: Parts that the rows of each source are cut into where limits are joined by source.
+SALTS = 16
 #: Sources with limits that a join may send to every executor (more are shuffled), and limits used for cutting on purpose.
 SOURCES_SENT, SIZES_USED = 200_000, 50
 SEED = 11
@@ -57,10 +62,11 @@ def _shape(line: str) -> str:
     return "".join(out)
 
 
-def features(text: str, piled: bool, near: bool, known: frozenset[str] | set[str]) -> list[str]:
-    """Names of the features of one text; ``piled`` if its length is a limit of its source, ``near`` if within 3 of one.
+def features(text: str, piled: bool, near: bool) -> tuple[list[str], str | None, list[str]]:
+    """(names, word, rest): the features of one text; ``piled`` if its length is a limit of its source, ``near`` if within 3 of one.
 
-    ``known`` are the words that the sample has often enough to be taken for whole words.
+    ``word`` is the last word, null for a number or none. Of it the features ``whole=known`` or ``whole=new`` with
+    every one of ``rest`` hold as well, by whether the corpus has it often enough to be taken for a whole word.
     """
     body = text.rstrip(" \t\r\n ")
     tail = text[len(body) :]
@@ -102,7 +108,6 @@ def features(text: str, piled: bool, near: bool, known: frozenset[str] | set[str
     unclosed += "”" * (paragraph.count("“") - german > paragraph.count("”")) + "„" * (german > paragraph.count("“")) + "»" * (paragraph.count("«") > paragraph.count("»"))
     sentence = re.split(r"[.!?]\s", bare)[-1]
     length = len(_WORD.findall(sentence[:400]))
-    whole = "number" if w1.isdigit() else "known" if w1 in known else "new"
     out = [
         "bias",
         f"end={end}|{kind}",
@@ -116,8 +121,6 @@ def features(text: str, piled: bool, near: bool, known: frozenset[str] | set[str
         f"fence={fenced}",
         f"w1={w1}|{end}",
         f"w1={w1}|{kind}|{mark}",
-        f"whole={whole}|{end}|{kind}|{mark}",
-        f"whole={whole}|{end}|{words[-1][:1].isupper() if words else None}",
         f"suffix={w1[-3:]}|{end}",
         f"w12={w2} {w1}|{end}",
         f"w123={w3} {w2} {w1}",
@@ -133,7 +136,10 @@ def features(text: str, piled: bool, near: bool, known: frozenset[str] | set[str
         out += [f"shape={shape}", f"shape={shape}|{w1}", f"lead={shape[:6]}|{kind}|{end}"]
     if kind in ("table", "code", "bullet"):
         out += [f"cells={line.count('|') - before.count('|')}|{line.endswith('|')}", f"same={_shape(line) == _shape(before)}|{kind}"]
-    return out
+    rest = [f"|{end}|{kind}|{mark}", f"|{end}|{words[-1][:1].isupper() if words else None}"]
+    if w1 and not w1.isdigit():
+        return out, w1, rest
+    return out + ["whole=number" + r for r in rest], None, []
 
 
 def hashed(names: list[str]) -> np.ndarray:
@@ -162,8 +168,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 
 def examples(text: str, limits: list[int], rng: np.random.Generator, cuts: int = CUTS) -> list[tuple[str, bool, bool, int]]:
-    """(text, piled, near, label) made of one text taken for whole: itself, parts that end with a line, and cut ones."""
-    out = [(text, False, False, 0)]
+    """(text, piled, near, label) made of one text taken for whole: itself, parts that end with a line, and cut ones.
+
+    Cuts are at random places, at limits and up to 3 before one; some whole texts have such lengths by chance.
+    """
+    chance = float(rng.random())
+    out = [(text, chance < BY_CHANCE, BY_CHANCE <= chance < BY_CHANCE + NEAR_BY_CHANCE, 0)]
     body = text.rstrip()
     n = len(body)
     if n < LEAST_CUT:
@@ -176,16 +186,17 @@ def examples(text: str, limits: list[int], rng: np.random.Generator, cuts: int =
         if len(part) > 40 and part.count("```") % 2 == 0:
             out.append((part, False, False, 0))
     for _ in range(cuts):
-        at, piled = int(rng.integers(30, n)), False
+        at, short = int(rng.integers(30, n)), None
         fitting = [x for x in limits if x < n]
         if fitting and rng.random() < 0.3:
-            at, piled = fitting[int(rng.integers(len(fitting)))], True
+            short = int(rng.integers(1, 4)) if rng.random() < 0.3 else 0  # characters below the limit
+            at = fitting[int(rng.integers(len(fitting)))] - short
         part = body[:at]
         if not part.strip() or body[at : at + 1] == "\n" or part.rstrip()[-1:] in ".!?" or part.endswith("\n"):
             continue
         tip = rng.random()
         part += "…" if tip < 0.08 else "�" if tip < 0.12 else ""
-        out.append((part, piled, False, 1))
+        out.append((part, short == 0, bool(short), 1))
     return out
 
 
@@ -212,51 +223,72 @@ def _with_limits(documents: DataFrame, piles: DataFrame) -> DataFrame:
     """(doc_id, text, piled, near) of every document with text."""
     sizes = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.col("size")))
     by_source = piles.groupBy(F.col("source").alias("own")).agg(sizes("chars").alias("in_chars"), sizes("bytes").alias("in_bytes"))
-    by_source = F.broadcast(by_source) if by_source.count() <= SOURCES_SENT else by_source
+    rows, salted = documents.filter(F.length("text") > 0), F.lit(True)
+    if by_source.count() <= SOURCES_SENT:
+        by_source = F.broadcast(by_source)
+    else:  # a hot source is cut into parts
+        by_source = by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("own_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        salted = F.col("salt") == F.col("own_salt")
     full = F.filter(F.col("in_bytes"), lambda x: F.abs(x - F.octet_length("text")) <= 3)
     piled = F.array_contains("in_chars", F.length("text")) | F.array_contains("in_bytes", F.octet_length("text"))
     return (
-        documents.filter(F.length("text") > 0)
-        .join(by_source, F.col("source").eqNullSafe(F.col("own")), "left")
+        rows.join(by_source, F.col("source").eqNullSafe(F.col("own")) & salted, "left")
         .select("doc_id", "text", F.coalesce(piled, F.lit(False)).alias("piled"), F.coalesce(F.size(full) > 0, F.lit(False)).alias("near"))
         .withColumn("near", F.col("near") & ~F.col("piled"))
     )
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words of each batch of texts but the last of every text, which may be cut."""
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
-            counts.update(_WORD.findall(text.lower()))
+            counts.update(_WORD.findall(text.lower())[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
-def _make_examples(known: frozenset[str], sizes: list[int]):
+def known_words(documents: DataFrame) -> DataFrame:
+    """(word) of every word that stands ``KNOWN`` times in the texts of the corpus, not counting the last word of a text."""
+    counted = documents.filter(F.length("text") > 0).select("text").mapInArrow(_count_words, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= KNOWN).select("word")
+
+
+def _choices(rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a last word that is known, and of one that is not."""
+    return hashed(["whole=known" + r for r in rest]), hashed(["whole=new" + r for r in rest])
+
+
+def _make_examples(sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folds, labels, rows = [], [], []
+            rows = []
             for text in batch.column(0).to_pylist():
                 seed = zlib.crc32(text.encode("utf-8", "replace"))
                 fold = seed & 1 if len(text.rstrip()) >= LEAST_CUT else -1
                 for part, piled, near, label in examples(text, sizes, np.random.default_rng(seed)):
-                    folds.append(fold)
-                    labels.append(label)
-                    rows.append(hashed(features(part, piled, near, known)).astype(np.int32))
-            columns = [pa.array(folds, pa.int32()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["fold", "label", "ids"])
+                    names, word, rest = features(part, piled, near)
+                    rows.append((fold, label, hashed(names), word, *_choices(rest)))
+            numbers = pa.list_(pa.int32())
+            kinds = {"fold": pa.int32(), "label": pa.int32(), "ids": numbers, "word": pa.string(), "if_known": numbers, "if_new": numbers}
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values())], names=list(kinds))
 
     return run
 
 
 class Model:
-    """Weights, the words taken for whole, and the limits used for cutting."""
+    """Weights of the hashed features."""
 
-    def __init__(self, weights: np.ndarray, known: frozenset[str], sizes: list[int]) -> None:
-        self.weights, self.known, self.sizes = weights.astype(np.float32), known, sizes
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights.astype(np.float32)
 
-    def score(self, text: str, piled: bool, near: bool) -> float:
-        """Log odds of having been cut off."""
-        return float(self.weights[hashed(features(text, piled, near, self.known))].sum())
+    def score(self, text: str, piled: bool, near: bool) -> tuple[str | None, float, float]:
+        """(last word, log odds of having been cut off if the word is known, and if not)."""
+        names, word, rest = features(text, piled, near)
+        common = float(self.weights[hashed(names)].sum())
+        if_known, if_new = _choices(rest)
+        return word, common + float(self.weights[if_known].sum()), common + float(self.weights[if_new].sum())
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> np.ndarray:
@@ -276,24 +308,24 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> n
     return fit([rows[i] for i in use], labels[use])
 
 
-def train(documents: DataFrame, piles: DataFrame, sample: int = SAMPLE) -> Model:
+def train(documents: DataFrame, piles: DataFrame, words: DataFrame, sample: int = SAMPLE) -> Model:
     """The classifier, fitted on about ``sample`` texts chosen by a hash of the id, or on all of a smaller corpus.
 
-    Texts at a limit of their source are not taken for whole and make no examples. What reaches the driver is
-    bounded by ``sample``: hashed rows, words that stand in the sample ``KNOWN`` times, and ``SIZES_USED`` limits.
+    Texts at a limit of their source are not taken for whole and make no examples; ``words`` are those of
+    ``known_words``. What reaches the driver is bounded by ``sample``: hashed rows, and ``SIZES_USED`` limits.
     """
     total = documents.count()
     share = 1.0 if total <= sample else sample / total
     chosen = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
     whole = _with_limits(chosen, piles).filter(~F.col("piled") & ~F.col("near") & (F.length(F.trim("text")) > 0)).select("text")
-    words = whole.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= KNOWN)
-    known = frozenset(words.select("word").toArrow()["word"].to_pylist())
     sizes = [r.size for r in piles.groupBy("size").agg(F.sum("texts").alias("n")).orderBy(F.desc("n"), "size").limit(SIZES_USED).collect()]
-    made = whole.mapInArrow(_make_examples(known, sorted(sizes)), "fold int, label int, ids array<int>").toArrow()
+    rows = "fold int, label int, ids array<int>, word string, if_known array<int>, if_new array<int>"
+    raw = whole.mapInArrow(_make_examples(sorted(sizes)), rows)
+    ids = F.concat("ids", F.when(F.col("is_known"), F.col("if_known")).otherwise(F.col("if_new")))
+    made = raw.join(words.withColumn("is_known", F.lit(True)), "word", "left").select("fold", "label", ids.alias("ids")).toArrow()
     ids = [np.asarray(i.values) for i in made["ids"]]
     order = np.argsort([zlib.crc32(x.tobytes()) for x in ids], kind="stable")  # the same order however the rows arrive
-    rows = [ids[i] for i in order]
-    return Model(fit_rows(rows, np.asarray(made["label"])[order].astype(float), np.asarray(made["fold"])[order]), known, sizes)
+    return Model(fit_rows([ids[i] for i in order], np.asarray(made["label"])[order].astype(float), np.asarray(made["fold"])[order]))
 
 
 def _scorer(shared):
@@ -301,8 +333,10 @@ def _scorer(shared):
         model: Model = shared.value
         for batch in batches:
             texts, piled, near = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            scores = [model.score(*x) if x[0].strip() else -99.0 for x in zip(texts, piled, near)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(scores, pa.float64())], names=["doc_id", "h1", "h2", "score"])
+            rows = [model.score(*x) if x[0].strip() else (None, -99.0, -99.0) for x in zip(texts, piled, near)]
+            columns = list(zip(*rows)) or [()] * 3
+            made = [pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], names=["doc_id", "h1", "h2", "word", "if_known", "if_new"])
 
     return run
 
@@ -311,14 +345,17 @@ def scores(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, score, cut) of every document with a text: log odds of having been cut off, and whether they pass.
 
     Copies of one text share the highest of their scores, as a copy may stand in a source without the limit.
-    Null, empty and blank texts are not cut off. Repeated rows give one row.
+    Null, empty and blank texts are not cut off. Repeated rows give one row. Words are counted over all texts.
     """
     piles = cut_lineage(limits(documents))
-    model = model or train(documents, piles)
+    words = cut_lineage(known_words(documents))
+    model = model or train(documents, piles, words)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     keyed = _with_limits(documents, piles).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text", "piled", "near")
-    each = cut_lineage(keyed.mapInArrow(_scorer(shared), "doc_id long, h1 long, h2 long, score double"))
-    best = each.groupBy("h1", "h2").agg(F.max("score").alias("score"))
+    each = cut_lineage(keyed.mapInArrow(_scorer(shared), "doc_id long, h1 long, h2 long, word string, if_known double, if_new double"))
+    best = each.groupBy("h1", "h2", "word").agg(F.max("if_known").alias("if_known"), F.max("if_new").alias("if_new"))
+    score = F.when(F.col("is_known"), F.col("if_known")).otherwise(F.col("if_new")).alias("score")
+    best = best.join(words.withColumn("is_known", F.lit(True)), "word", "left").select("h1", "h2", score)
     limit = float(np.log(THRESHOLD / (1 - THRESHOLD)))
     return each.select("doc_id", "h1", "h2").join(best, ["h1", "h2"]).select("doc_id", "score", (F.col("score") > limit).alias("cut")).distinct()
 

@@ -66,4 +66,26 @@ def test_empty_and_tiny(spark):
 
 def test_features_take_any_text():
     for t in ("x", "…", "�", "```", "| a", "- ", "字" * 5000, "a" * 300_000, '"', "„x“ “y"):
-        assert len(X.hashed(X.features(t, False, False, frozenset()))) > 10
+        assert len(X.hashed(X.features(t, False, False)[0])) > 10
+
+
+def test_the_sampled_regime_and_many_sources_give_the_same_accuracy(spark, monkeypatch):
+    rows, cut = corpus(2000, 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(X, "SOURCES_SENT", 0)
+    piles, words = X.limits(df), X.known_words(df)
+    model = X.train(df, piles, words, sample=700)
+    found = {r.doc_id for r in X.scores(df, model).filter("cut").collect()}
+    assert len(found & cut) / len(cut) > 0.93 and len(found & cut) / len(found) > 0.93
+
+
+def test_known_words_leave_out_the_last(spark):
+    df = spark.createDataFrame([(i, "the reader stores the tab", "a") for i in range(5)] + [(9, None, "a")], "doc_id long, text string, source string")
+    assert {r.word for r in X.known_words(df).collect()} == {"the", "reader", "stores"}
+
+
+def test_examples_near_limits_have_both_labels():
+    made = [e for i in range(400) for e in X.examples("one word after the other " * 20 + "end.", [200, 300], X.np.random.default_rng(i))]
+    for piled, near in ((True, False), (False, True)):
+        assert {label for _, p, n, label in made if (p, n) == (piled, near)} == {0, 1}
+    assert {len(t) for t, p, n, label in made if n and label and t[-1] not in "…\ufffd"} <= {197, 198, 199, 297, 298, 299}
