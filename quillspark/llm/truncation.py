@@ -45,6 +45,10 @@ SEED = 11
 _WORD = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\s+|[^\w\s]|_")
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)]|[a-z]\))\s")
+#: A character reference of HTML, and one that the text stops in.
+_REFERENCE, _IN_REFERENCE = re.compile(r"&#?\w{2,8};"), re.compile(r"&#?\w{0,8}\Z")
+#: Character references whose beginnings are put behind cuts.
+_REFERENCES = ("&amp;", "&quot;", "&nbsp;", "&hellip;", "&#8217;")
 _CLOSED = ".!?。！？"
 _QUOTES = "\"'”’»“)]}*_`"
 _PAIRS = (("(", ")"), ("[", "]"), ("{", "}"))
@@ -119,6 +123,7 @@ def features(text: str, piled: bool, near: bool) -> tuple[list[str], str | None,
         f"quote={open_quote}|{end}",
         f"open={unclosed}",
         f"fence={fenced}",
+        f"reference={bool(_IN_REFERENCE.search(body[-10:]))}",
         f"w1={w1}|{end}",
         f"w1={w1}|{kind}|{mark}",
         f"suffix={w1[-3:]}|{end}",
@@ -170,7 +175,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 def examples(text: str, limits: list[int], rng: np.random.Generator, cuts: int = CUTS) -> list[tuple[str, bool, bool, int]]:
     """(text, piled, near, label) made of one text taken for whole: itself, parts that end with a line, and cut ones.
 
-    Cuts are at random places, at limits and up to 3 before one; some whole texts have such lengths by chance.
+    Cuts are at random places, at limits and up to 3 before one, and inside a character reference; some whole texts
+    have lengths at limits by chance.
     """
     chance = float(rng.random())
     out = [(text, chance < BY_CHANCE, BY_CHANCE <= chance < BY_CHANCE + NEAR_BY_CHANCE, 0)]
@@ -195,8 +201,13 @@ def examples(text: str, limits: list[int], rng: np.random.Generator, cuts: int =
         if not part.strip() or body[at : at + 1] == "\n" or part.rstrip()[-1:] in ".!?" or part.endswith("\n"):
             continue
         tip = rng.random()
-        part += "…" if tip < 0.08 else "�" if tip < 0.12 else ""
+        broken = _REFERENCES[int(rng.integers(len(_REFERENCES)))]
+        part += "…" if tip < 0.08 else "�" if tip < 0.12 else broken[: int(rng.integers(2, len(broken)))] if tip < 0.15 else ""
         out.append((part, short == 0, bool(short), 1))
+    references = list(_REFERENCE.finditer(body, 30))
+    if references:
+        found = references[int(rng.integers(len(references)))]
+        out.append((body[: int(rng.integers(found.start() + 1, found.end()))], False, False, 1))
     return out
 
 
