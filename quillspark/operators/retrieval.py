@@ -47,6 +47,18 @@ def bm25(questions: DataFrame, posted: DataFrame, size: DataFrame, stats: DataFr
     return top(scored, "query_id", k, F.round("score", 9).desc(), F.col(key))
 
 
+def with_zero_scores(found: DataFrame, questions: DataFrame, keys: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """``found`` filled up to ``k`` chunks per question with chunks that share no term with it, score 0, smallest keys first.
+
+    ``keys`` has the key of every chunk. A question with fewer than ``k`` hits needs at most the 2 ``k`` smallest keys, so
+    these alone meet the questions. Chunks of negative score stay behind those of score 0.
+    """
+    first = F.broadcast(keys.select(key).distinct().orderBy(key).limit(2 * k))
+    zero = questions.select("query_id").distinct().crossJoin(first).join(found.select("query_id", key), ["query_id", key], "left_anti")
+    every = found.select("query_id", key, "score").unionByName(zero.withColumn("score", F.lit(0.0)))
+    return top(every, "query_id", k, F.round("score", 9).desc(), F.col(key))
+
+
 def bm25_scan(questions: DataFrame, tokens: DataFrame, size: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The same rows as ``bm25`` for a large stated set of questions, in one pass over ``index.tokenised`` chunks per block of questions.
 

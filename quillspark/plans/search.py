@@ -53,6 +53,13 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def bm25_zero(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``bm25_topk``, with chunks of score 0 for questions that have fewer hits; blank questions have none but these."""
+    asked, tokens = questions(spark, folder), _tokens(spark, folder)
+    found = retrieval.with_zero_scores(_lexical(tokens, asked), asked, tokens, Settings().candidate_k)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def _document_parents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as one parent."""
     documents = table(spark, folder, "documents", "doc_id", "text", "source")
@@ -242,7 +249,7 @@ def ask(tables: dict[str, DataFrame], question: str, settings: Settings = OFFLIN
 QUERIES = {
     f.__name__: f
     for f in (
-        text_embeddings, answers, bm25_stored, stored_tables, term_stats, doc_stats, bm25_topk, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
+        text_embeddings, answers, bm25_stored, stored_tables, term_stats, doc_stats, bm25_topk, bm25_zero, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
         candidate_vectors, rerank_overlap, parent_substitution, context_prompt, chunk_cards,
     )
 }
@@ -306,6 +313,21 @@ scored AS (
     FROM posted JOIN terms USING (term) JOIN stats USING (term) GROUP BY query_id, chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 20
+""",
+    "bm25_zero": f"""
+WITH {_BM25},
+asked AS (
+    SELECT min(run_id) AS query_id, question FROM rag_timings WHERE run_id % 20 = 0 AND {sql.trim_all("question")} <> '' GROUP BY question),
+terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({sql.tokens("question")}) AS term FROM asked) GROUP BY query_id, term),
+scored AS (
+    SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM size)))) AS score
+    FROM posted JOIN terms USING (term) JOIN stats USING (term) GROUP BY query_id, chunk_id),
+every AS (
+    SELECT query_id, chunk_id, score FROM scored
+    UNION ALL SELECT a.query_id, t.chunk_id, 0.0 FROM asked AS a CROSS JOIN (SELECT chunk_id FROM toks ORDER BY chunk_id LIMIT 40) AS t
+    ANTI JOIN scored AS s ON s.query_id = a.query_id AND s.chunk_id = t.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM every)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 20
 """,
     "stored_tables": f"""
 WITH {_BM25}

@@ -139,3 +139,13 @@ def test_one_question_without_results_raises(spark, tmp_path):
         search.ask(tables, " ")
     with pytest.raises(R.NothingRelevant):
         search.ask(tables, "zebra", Settings(min_score=1.0, passage_prefix="", query_prefix=""))
+
+
+def test_zero_scores_fill_up(spark):
+    chunks = spark.createDataFrame([("d1", "a b"), ("d2", "a c"), ("d3", "d e"), ("d4", "f")], "chunk_id string, text string")
+    tokens = I.tokenised(chunks)
+    size, posted = I.corpus_size(tokens), I.postings(chunks)
+    asked = spark.createDataFrame([("q", "a b"), ("none", "zzz")], "query_id string, question string")
+    found = R.bm25(asked, posted, size, I.term_stats(posted, size), 3)
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.score == 0) for r in R.with_zero_scores(found, asked, chunks, 3).collect())
+    assert got == [("none", 1, "d1", True), ("none", 2, "d2", True), ("none", 3, "d3", True), ("q", 1, "d1", False), ("q", 2, "d2", False), ("q", 3, "d3", True)]
