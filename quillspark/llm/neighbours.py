@@ -25,8 +25,9 @@ K = 10
 TREES = 4
 #: Vectors a region should hold: a share of the table between two bounds.
 REGION_SHARE, LEAST_REGION, MOST_REGION = 1 / 16, 500, 20_000
-#: Vectors a leaf of a region holds at most, and leaves of a region that an asking vector visits.
-LEAF, VISITS = 80, 10
+#: Vectors a leaf of a region holds at most, a share of the region between two bounds, and leaves of a region that an asking vector visits.
+LEAF_SHARE, LEAST_LEAF, MOST_LEAF = 1 / 35, 20, 80
+VISITS = 10
 #: Vectors the trees are fitted on (about that many of a larger table).
 SAMPLE = 20_000
 #: Sampled vectors a region needs to be split again; bounds the number of regions at SAMPLE / LEAST.
@@ -199,7 +200,10 @@ def distinct_vectors(chunks: DataFrame, dimensions: int = DIMENSIONS) -> DataFra
 
 
 def _twins(vectors: DataFrame, k: int) -> DataFrame:
-    """(vid, rep, kept) of every vector that equals one of smaller id; the first ``k`` of a group are kept as candidates."""
+    """(vid, rep, kept) of every vector that equals one of smaller id; the first ``k`` of a group are kept as candidates.
+
+    Of a large group every partition passes on its ``k`` smallest only, as the rank is cut at ``k``.
+    """
     same = vectors.groupBy("h1", "h2").agg(F.min("vid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     twins = vectors.select("vid", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).filter("vid <> rep").select("vid", "rep")
     first = twins.withColumn("no", F.row_number().over(Window.partitionBy("rep").orderBy("vid"))).filter(F.col("no") <= k)
@@ -292,13 +296,13 @@ def _ranker(k: int, leaf: int, visits: int):
 
 
 def nearest(
-    vectors: DataFrame, k: int = K, trees: int = TREES, region: int | None = None, extra: int | None = None, leaf: int = LEAF, visits: int = VISITS, sample: int = SAMPLE
+    vectors: DataFrame, k: int = K, trees: int = TREES, region: int | None = None, extra: int | None = None, leaf: int | None = None, visits: int = VISITS, sample: int = SAMPLE
 ) -> DataFrame:
     """(vid, near) from ``distinct_vectors``: ``near`` holds up to ``k`` (far, other), nearest first, smaller ids first on ties.
 
     ``far`` is the negative cosine. The forest is fitted on a sample chosen by a hash of the id, of about
     ``sample`` vectors; every vector is stored and searched. A region holds about ``region`` vectors, by default
-    ``REGION_SHARE`` of the table within its bounds. An empty table gives no rows and a single vector an
+    ``REGION_SHARE`` of the table within its bounds, and a leaf at most ``leaf``, by default ``LEAF_SHARE`` of that. An empty table gives no rows and a single vector an
     empty list. Equal vectors ask once, as the one of smallest id.
     """
     rows = vectors.count()
@@ -308,6 +312,7 @@ def nearest(
     width = DIMENSIONS if not len(chosen) else len(chosen[0].as_py()) // 4
     points = _matrix(chosen, np.float32) if len(chosen) else np.empty((0, width), np.float32)
     region = region or int(min(MOST_REGION, max(LEAST_REGION, rows * REGION_SHARE)))
+    leaf = leaf or int(min(MOST_LEAF, max(LEAST_LEAF, region * LEAF_SHARE)))
     forest = Forest(points, rows, trees, region, extra, SEED)
     twins = _twins(vectors, k)
     roles = (
