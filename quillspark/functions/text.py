@@ -103,11 +103,17 @@ def paragraph_starts(c: Column) -> Column:
 
 
 def windows(c: Column, size: int, overlap: int) -> Column:
-    """(start, text) of windows of ``size`` characters that share ``overlap``; none for an empty or null text."""
+    """(start, text) of windows of ``size`` characters that share ``overlap``, at most half of it; none for an empty or null text.
+
+    The text is cut into steps in one sweep, and a window is a step with the first characters of the next, so a long
+    text takes time in proportion to its length.
+    """
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(c) - size) / F.lit(float(step))).cast("int"))
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: (i * step).cast("int"))
-    made = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(c, s + 1, F.lit(size)).alias("text")))
+    steps = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    pairs = F.arrays_zip(F.slice(steps, F.lit(1), last + 1).alias("own"), F.slice(steps, F.lit(2), last + 1).alias("following"))
+    more = lambda p: F.coalesce(F.substring(p.following, 1, overlap), F.lit(""))
+    made = F.transform(pairs, lambda p, i: F.struct((i * step).cast("int").alias("start"), F.concat(p.own, more(p)).alias("text")))
     return F.when(F.length(c) > 0, made).otherwise(F.slice(made, 1, 0))
 
 

@@ -51,9 +51,9 @@ def sla_breaches(incidents: DataFrame) -> DataFrame:
     return late.filter("acknowledged_late OR resolved_late")
 
 
-def unknown_origins(log: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Log rows whose ``key`` is not among the known ones; a null key is unknown."""
-    return log.join(known.select(key).distinct(), key, "left_anti")
+def unknown_origins(log: DataFrame, known: DataFrame, key: str, event: Column | None = None) -> DataFrame:
+    """Log rows, with ``event`` only those of that kind, whose ``key`` is not among the known ones; a null key is unknown."""
+    return (log if event is None else log.filter(event)).join(known.select(key).distinct(), key, "left_anti")
 
 
 def error_patterns(log: DataFrame, message: str, patterns: dict[str, str]) -> DataFrame:

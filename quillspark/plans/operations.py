@@ -192,13 +192,21 @@ def untraced_usage(spark: SparkSession, folder: str) -> DataFrame:
     return platform.unknown_origins(traced, table(spark, folder, "token_usage"), "query_id")
 
 
+def anomalous_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Error events of consumers that never viewed or bought anything."""
+    events = _events(spark, folder)
+    known = events.filter(F.col("event_type").isin("view", "purchase")).select("user_id")
+    found = platform.unknown_origins(events, known, "user_id", F.col("event_type") == "error")
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("errors"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         stage_summary, stage_top2, timing_table, timing_log_json, error_class, question_checks, usage_cost, usage_mismatch,
         availability_30d, growth_projection, trailing_use, cost_attribution, log_retention, escalations, windows_5m, windows_by_model, alerts, change_failure_rate,
         consumer_rate, consumer_anomalies, token_budget, scale_outs, quota_minutes, error_patterns, resource_names, rule_findings,
-        findings_by_severity, sla_breaches, untraced_usage,
+        findings_by_severity, sla_breaches, untraced_usage, anomalous_errors,
     )
 }
 
@@ -391,5 +399,9 @@ SELECT run_id AS incident_id, severity, round(m, 4) AS minutes, coalesce(a, fals
 """,
     "untraced_usage": f"""
 WITH {sql.RUNS} SELECT run_id, query_id FROM runs WHERE query_id IS NOT NULL AND query_id NOT IN (SELECT query_id FROM token_usage WHERE query_id IS NOT NULL)
+""",
+    "anomalous_errors": """
+SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND (user_id IS NULL OR user_id NOT IN (
+    SELECT user_id FROM events WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL)) GROUP BY user_id
 """,
 }

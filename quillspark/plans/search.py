@@ -184,6 +184,16 @@ def context_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.prompts(_reranked(spark, folder))
 
 
+def context_prompt_v1(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in the wording of the first generation."""
+    return retrieval.prompts(_reranked(spark, folder), cite=False)
+
+
+def prefixed_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions as an embedder gets them."""
+    return questions(spark, folder).select("query_id", F.concat(F.lit(Settings().query_prefix), F.col("question")).alias("prefixed"))
+
+
 def chunk_cards(spark: SparkSession, folder: str) -> DataFrame:
     """Card heading, file name and colour of the first five candidates of each question."""
     rows = candidates(spark, folder).groupBy("query_id", "chunk_id").agg(F.max("dense_score").alias("score"), F.min("source").alias("source"))
@@ -250,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_embeddings, answers, bm25_stored, stored_tables, term_stats, doc_stats, bm25_topk, bm25_zero, knn_cosine, knn_l2_relevance, rrf_hybrid, min_score_filter, mmr_select, candidate_similarity,
-        candidate_vectors, rerank_overlap, parent_substitution, context_prompt, chunk_cards,
+        candidate_vectors, rerank_overlap, parent_substitution, context_prompt, context_prompt_v1, prefixed_questions, chunk_cards,
     )
 }
 
@@ -397,3 +407,8 @@ FROM r WHERE rank <= 5
 """,
 }
 SQL["bm25_stored"] = SQL["bm25_topk"]
+SQL["context_prompt_v1"] = SQL["context_prompt"].replace("'Cite the document section when available.' || chr(10)\n       || ", "")
+SQL["prefixed_questions"] = f"""
+SELECT min(run_id) AS query_id, 'Represent this sentence for searching relevant passages: ' || question AS prefixed
+FROM rag_timings WHERE run_id % 20 = 0 AND {sql.trim_all("question")} <> '' GROUP BY question
+"""

@@ -32,12 +32,13 @@ def once(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Only the keys are grouped, and only rows of repeated keys are shuffled, so long texts stay where they were read.
     """
-    repeated = df.select(*(F.col(k).alias(f"_{k}") for k in keys)).groupBy(*(f"_{k}" for k in keys)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    named = {k: f"_repeated_key_{k}" for k in keys}  # names apart from those of the table
+    repeated = df.groupBy(*(F.col(k).alias(v) for k, v in named.items())).agg(F.count(F.lit(1)).alias("_repeated")).filter("_repeated > 1").drop("_repeated")
     count = repeated.count()
     if not count:
         return df
     if count > REPEATED_SENT:
         return df.dropDuplicates(keys)
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()))
     repeated = F.broadcast(repeated)
     return df.join(repeated, same, "left_anti").union(df.join(repeated, same, "left_semi").dropDuplicates(keys))
