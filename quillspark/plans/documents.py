@@ -12,6 +12,11 @@ from quillspark.plans import sql
 from quillspark.sources.tables import once, spread, table
 
 
+def pages_of(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The extracted pages, dealt out over all cores where they come in few splits."""
+    return spread(table(spark, folder, "extracted_pages", *columns))
+
+
 def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
     """Child windows of the documents under one chunk_id."""
     made = chunking.child_windows(spread(table(spark, folder, "documents", "doc_id", "text")), ["doc_id"])
@@ -27,7 +32,7 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parent_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.parents(table(spark, folder, "extracted_pages"))
+    return chunking.parents(pages_of(spark, folder, "source", "page_number", "blocks", "section_boundaries"))
 
 
 def parent_children(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +41,7 @@ def parent_children(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def block_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.segments(table(spark, folder, "extracted_pages"))
+    return chunking.segments(pages_of(spark, folder, "source", "page_number", "blocks", "section_boundaries"))
 
 
 def recursive_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,21 +94,21 @@ def incremental_new(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def header_footer_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.header_footer_lines(layout.page_text(table(spark, folder, "extracted_pages")))
+    return layout.header_footer_lines(layout.page_text(pages_of(spark, folder, "source", "page_number", "blocks")))
 
 
 def strip_lines(spark: SparkSession, folder: str) -> DataFrame:
-    texts = layout.page_text(table(spark, folder, "extracted_pages"))
+    texts = layout.page_text(pages_of(spark, folder, "source", "page_number", "blocks"))
     return layout.strip_lines(texts, layout.header_footer_lines(texts))
 
 
 def edge_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.edge_lines(layout.page_text(table(spark, folder, "extracted_pages")))
+    return layout.edge_lines(layout.page_text(pages_of(spark, folder, "source", "page_number", "blocks")))
 
 
 def section_headings(spark: SparkSession, folder: str) -> DataFrame:
     """The heading at every given section boundary of a page: the first line of the text from there on, and the page's given body size."""
-    pages = once(table(spark, folder, "extracted_pages"), ["source", "page_number"])
+    pages = once(pages_of(spark, folder), ["source", "page_number"])
     text = F.concat_ws("\n", F.coalesce("blocks", F.array().cast("array<string>")))
     starts = F.array_distinct(F.filter(F.coalesce("section_boundaries", F.array().cast("array<int>")), lambda b: (b >= 0) & (b < F.length("text"))))
     found = pages.select("source", "page_number", "body_font_size", "section_boundaries", text.alias("text")).withColumn("start", F.explode(starts))

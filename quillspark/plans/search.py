@@ -11,7 +11,7 @@ from quillspark.functions import text as T
 from quillspark.functions import vector as V
 from quillspark.operators import index, layout, retrieval
 from quillspark.plans import sql
-from quillspark.plans.documents import chunk_table
+from quillspark.plans.documents import chunk_table, pages_of
 from quillspark.session import new_folder, written
 from quillspark.sources import artefacts
 from quillspark.sources.tables import table
@@ -159,8 +159,8 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     asked = traced.groupBy("query_id").agg(F.min("question").alias("question")).withColumn("asked_terms", retrieval.question_terms(F.col("question")))
     places = candidates(spark, folder).groupBy("query_id", "chunk_id").agg(F.min("source").alias("source"), F.min("page_number").alias("page_number"))
     kept = retrieval.passes(_fused(spark, folder)).select("query_id", "chunk_id")
-    pages = layout.page_text(table(spark, folder, "extracted_pages"))
-    pages = pages.repartition("source", "page_number").withColumn("given_terms", retrieval.question_terms(F.col("text")))
+    pages = layout.page_text(pages_of(spark, folder, "source", "page_number", "blocks"))
+    pages = pages.withColumn("given_terms", retrieval.question_terms(F.col("text")))
     return kept.join(places, ["query_id", "chunk_id"]).join(asked, "query_id").join(pages, ["source", "page_number"])
 
 
@@ -176,7 +176,7 @@ def parent_substitution(spark: SparkSession, folder: str) -> DataFrame:
     """The pages behind the best fused candidates: top-k first, then the join with the page table."""
     places = candidates(spark, folder).groupBy("query_id", "chunk_id").agg(F.min("source").alias("source"), F.min("page_number").alias("page_number"))
     best = _fused(spark, folder).filter(F.col("rank") <= Settings().top_k).select("query_id", "chunk_id", "rank").join(places, ["query_id", "chunk_id"])
-    found = retrieval.with_parents(best, layout.page_text(table(spark, folder, "extracted_pages")), ["source", "page_number"])
+    found = retrieval.with_parents(best, layout.page_text(pages_of(spark, folder, "source", "page_number", "blocks")), ["source", "page_number"])
     return found.select("query_id", "rank", "chunk_id", T.basename(F.col("source")).alias("name"), "page_number", T.preview(F.col("text")).alias("preview"))
 
 
@@ -220,7 +220,7 @@ OFFLINE = Settings(min_score=0.05, passage_prefix="", query_prefix="")
 def page_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """A stored index of the extracted pages: hierarchical parents, their chunks, both indexes."""
     at = new_folder(spark)
-    artefacts.add_to_index(artefacts.parent_table(table(spark, folder, "extracted_pages"), OFFLINE), at, settings=OFFLINE)
+    artefacts.add_to_index(artefacts.parent_table(pages_of(spark, folder, "source", "page_number", "blocks", "section_boundaries"), OFFLINE), at, settings=OFFLINE)
     return artefacts.load_index(spark, at)
 
 
