@@ -1,43 +1,38 @@
 """Choosing a varied subset of the candidates of each request: max-sum dispersion by local search.
 
-The candidates of a request are cut into parts by a hash, every part keeps a core-set, and core-sets are put
-together ``FAN`` at a time until one is left. On that one, a selected and an unselected candidate are swapped
-while this raises the total pairwise distance, or leaves it and brings in the better-scored one. Distances are
-one minus the cosine or, with ``alike``, 1 between candidates of different groups of look-alikes and 0 within.
-No task holds more than a few core-sets, and no matrix of all pairs of a request is made.
+All candidates of a request meet in one task, in order of preference, however many they are. A selected and an
+unselected candidate are swapped while this raises the total pairwise distance, or leaves it and brings in the
+better-scored one. Distances are one minus the cosine or, with ``alike``, 1 between candidates of different groups
+of look-alikes and 0 within. No matrix of all pairs of a request is made: rows are compared a slice with a block at
+a time, and the vectors of a large request lie in a temporary file. None of these bounds has a say in the result.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.neighbours import proper
-from quillspark.session import cut_lineage
 
 ALIKE = 0.5
-#: Candidates of one part, and core-sets that are put together at once.
-BLOCK, FAN = 2_000, 8
-#: Core points that each group of look-alikes of a part keeps for links, beside its best candidate.
+#: Rows that a slice is compared with at once.
+BLOCK = 2_000
+#: Rows far apart around which the others are gathered, so that slices skip cells that are too far from them.
 CORE = 24
-#: Rows compared with all others of a task at once.
+#: Rows compared with all others of a task at once; a request of no more is one cell.
 SLICE = 512
-#: A request for more candidates than this is answered part by part, each giving its share: the answer itself is too large for one task.
+#: Rows of a request whose vectors a task holds in memory; those of a larger request lie in a temporary file.
 LARGE = 10_000
 
-_ROWS = "query_id string, part int, parts int, chunk_id string, score double, subset_size int, label string, fixed boolean, embedding array<float>"
-_OUT = _ROWS + ", chosen boolean, groups int, dispersion double"
 _KINDS = {
-    "query_id": pa.string(), "part": pa.int32(), "parts": pa.int32(), "chunk_id": pa.string(), "score": pa.float64(), "subset_size": pa.int32(),
-    "label": pa.string(), "fixed": pa.bool_(), "embedding": pa.list_(pa.float32()), "chosen": pa.bool_(), "groups": pa.int32(), "dispersion": pa.float64(),
+    "query_id": pa.string(), "chunk_id": pa.string(), "score": pa.float64(), "subset_size": pa.int32(), "groups": pa.int32(), "dispersion": pa.float64(),
 }
-_COLUMNS = list(_KINDS)[:9]
-_RESULT = ["query_id", "chunk_id", "score", "subset_size", "groups", "dispersion"]
+_OUT = "query_id string, chunk_id string, score double, subset_size int, groups int, dispersion double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -45,10 +40,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def components(x: np.ndarray, alike: float, label: np.ndarray | None = None) -> np.ndarray:
+def _cells(x: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(centres, radii, rows of each cell): every row is in the cell of the nearest of up to ``CORE`` rows far apart; radii are angles."""
+    if len(x) <= SLICE:
+        return x[:1], np.full(1, np.pi), [np.arange(len(x))]
+    centres = x[spread_out(x, 0, CORE)]
+    own, far = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), block):
+        cosine = x[at : at + block] @ centres.T
+        own[at : at + block], far[at : at + block] = cosine.argmax(1), np.arccos(np.clip(cosine.max(1), -1, 1))
+    cells = [np.flatnonzero(own == k) for k in range(len(centres))]
+    return centres, np.array([far[c].max(initial=0.0) for c in cells]), cells
+
+
+def components(x: np.ndarray, alike: float, label: np.ndarray | None = None, block: int = BLOCK) -> np.ndarray:
     """Group number of each unit row: rows of cosine ``alike`` or more, or of the same label, and alike of alike, belong together.
 
-    Grows one group at a time, ``SLICE`` rows against those not yet reached, so no matrix of all pairs is made.
+    Grows one group at a time, ``SLICE`` rows against ``block`` of those not yet reached, so no matrix of all pairs is
+    made. A row skips a cell whose centre is farther than the angle of ``alike`` and the cell's radius together.
     """
     n = len(x)
     group = np.full(n, -1)
@@ -56,22 +65,47 @@ def components(x: np.ndarray, alike: float, label: np.ndarray | None = None) ->
     for i, own in enumerate(label.tolist() if label is not None else ()):
         if own is not None:
             by_label.setdefault(own, []).append(i)
-    rest = np.arange(n)
+    centres, radii, cells = _cells(x, block)
+    reach = radii + np.arccos(np.clip(alike, -1, 1)) + 1e-6
+    within = lambda rows: np.arccos(np.clip(rows @ centres.T, -1, 1)) <= reach
+    lone = np.zeros(n, bool)
+    known = 0  # rows up to here have a group or were compared as a slice
     for i in range(n):
         if group[i] >= 0:
             continue
+        if i >= known:  # many rows are like no other: these need no growing
+            seeds = i + np.flatnonzero(group[i:] < 0)[:SLICE]
+            known = seeds[-1] + 1
+            own = x[seeds]
+            near, mates = within(own), np.zeros(len(seeds), np.int64)
+            for k in np.flatnonzero(near.any(0)):
+                cells[k] = rest = cells[k][group[cells[k]] < 0]
+                for at in range(0, len(rest), block):
+                    mates[near[:, k]] += ((own[near[:, k]] @ x[rest[at : at + block]].T >= alike) & (seeds[near[:, k], None] != rest[at : at + block])).sum(1)
+            lone[seeds] = mates == 0
         group[i] = i
-        front = [i]
+        front = [np.array([i])]
         while front:
-            now, front = front[:SLICE], front[SLICE:]
-            rest = rest[group[rest] < 0]
-            reached = rest[(x[now] @ x[rest].T >= alike).any(0)] if len(rest) else rest
-            new = set(reached.tolist())
+            now = front.pop()
+            if len(now) > SLICE:
+                front.append(now[SLICE:])
+                now = now[:SLICE]
+            own = x[now]
+            near = within(own) & ~lone[now, None]
+            for k in np.flatnonzero(near.any(0)):
+                cells[k] = rest = cells[k][group[cells[k]] < 0]
+                asking = own[near[:, k]]
+                for at in range(0, len(rest), block):
+                    part = rest[at : at + block]
+                    reached = part[(asking @ x[part].T >= alike).any(0)]
+                    if len(reached):
+                        group[reached] = i
+                        front.append(reached)
             if by_label:
-                new.update(j for k in now for j in by_label.pop(label[k], ()) if group[j] < 0)
-            for j in new:
-                group[j] = i
-            front += new
+                same = np.array([j for k in now for j in by_label.pop(label[k], ()) if group[j] < 0], np.int64)
+                if len(same):
+                    group[same] = i
+                    front.append(same)
     return group
 
 
@@ -137,14 +171,19 @@ def search_cosines(x: np.ndarray, size: int) -> np.ndarray:
             part = into[at : at + SLICE]
             if along[part[0]] > highest + 1e-9:
                 break
-            gain = along[out][:, None] - along[part][None, :] - (1 - x[out] @ x[part].T)
-            best = gain.max()
-            if best < -1e-9:
-                continue
-            climb = np.where(gain >= best - 1e-9, out[:, None] - part[None, :], -n)  # of the best swaps, the one that climbs most places
-            a, b = np.unravel_index(np.argmax(climb), climb.shape)
-            if best > 1e-9 or climb[a, b] > 0:
-                swap = out[a], part[b]
+            best, climbs = -np.inf, 0
+            for start in range(0, len(out), BLOCK):
+                own = out[start : start + BLOCK]
+                gain = along[own][:, None] - along[part][None, :] - (1 - x[own] @ x[part].T)
+                top = gain.max()
+                if top < max(best, 0) - 1e-9:
+                    continue
+                climb = np.where(gain >= top - 1e-9, own[:, None] - part[None, :], -n)  # of the best swaps, the one that climbs most places
+                a, b = np.unravel_index(np.argmax(climb), climb.shape)
+                if top > best + 1e-9 or climb[a, b] > climbs:
+                    best, climbs, found = max(top, best), climb[a, b], (own[a], part[b])
+            if best > 1e-9 or best >= -1e-9 and climbs > 0:
+                swap = found
                 break
         if swap is None:
             break
@@ -160,88 +199,67 @@ def total_distance(x: np.ndarray, group: np.ndarray | None) -> float:
     return float((n * n - (x.sum(0) ** 2).sum()) / 2)
 
 
-def core_set(x: np.ndarray, group: np.ndarray | None, size: int, fixed: np.ndarray, block: int) -> np.ndarray:
-    """Rows that stand for all rows of a part; these come in order of preference.
+class _Request:
+    """The candidates of one request, which come in order of preference."""
+
+    def __init__(self, query: str, size: int):
+        self.query, self.size = query, size
+        self.chunks: list[str] = []
+        self.scores: list[float] = []
+        self.vectors: list[np.ndarray] = []
+        self.seen: set[str] = set()
+        self.file = None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """A candidate that comes again counts once, with its highest score."""
+        names = rows.column("chunk_id").to_pylist()
+        fresh = [i for i, c in enumerate(names) if not (c in self.seen or self.seen.add(c))]
+        flat = np.asarray(rows.column("embedding").flatten(), np.float32).reshape(len(names), -1)
+        scores = rows.column("score").to_pylist()
+        self.chunks += [names[i] for i in fresh]
+        self.scores += [scores[i] for i in fresh]
+        self.vectors.append(unit(flat[fresh].astype(np.float64)))
+        if len(self.chunks) > LARGE:
+            self.file = self.file or tempfile.TemporaryFile()
+            for part in self.vectors:
+                self.file.write(part.tobytes())
+            self.vectors = []
+
+    def choice(self, alike: float | None, block: int) -> list[tuple]:
+        if self.file:
+            self.file.flush()
+            x = np.memmap(self.file, np.float64, "r").reshape(len(self.chunks), -1).view(np.ndarray)
+        else:
+            x = np.concatenate(self.vectors)
+        group = components(x, alike, block=block) if alike is not None else None
+        chosen = search_groups(group, self.size) if group is not None else search_cosines(x, self.size)
+        count = len(np.unique(group)) if group is not None else 0
+        distance = total_distance(x[chosen], group[chosen] if group is not None else None)
+        return [(self.query, self.chunks[i], self.scores[i], self.size, count, distance) for i in chosen]
 
-    Without groups: rows far apart, filled up to ``size`` with the best-scored others, as equal vectors end the spread.
-    With groups: the best of every group, the rows a search would choose here, and rows far apart in every group,
-    which links to other parts start from; of more groups than ``max(4 * size, block)`` those with the best rows.
-    """
-    keep = np.flatnonzero(fixed).tolist()
-    if group is None:
-        wanted = max(CORE, size)
-        keep += spread_out(x, 0, wanted)
-        keep += np.setdiff1d(np.arange(len(x)), keep)[: max(0, wanted - len(keep))].tolist()
-        return np.unique(keep)
-    heads = np.unique(group)[: max(4 * size, block)]  # a group is named by its best row
-    links = max(1, min(CORE, block // (2 * len(heads))))
-    keep += heads.tolist()
-    if links > 1:
-        order = np.argsort(group, kind="stable")
-        at = np.searchsorted(group[order], [heads, heads + 1])
-        for a, b in at.T:
-            if b - a > 1:
-                own = order[a:b]
-                keep += own[spread_out(x[own], 0, links)].tolist()
-    keep += search_groups(group, size).tolist()
-    return np.unique(keep)
-
-
-def _reducer(alike: float | None, block: int, last: bool):
-    """Arrow map over rows sorted by (query_id, part): the core-set of every part and, where a request has one part only, the choice.
-
-    With ``last`` every part is the last of its request.
-    """
 
-    def one(rows: pa.Table) -> list[tuple]:
-        query, number, parts, size = (rows[c][0].as_py() for c in ("query_id", "part", "parts", "subset_size"))
-        score, chunk = np.asarray(rows["score"]), np.asarray(rows["chunk_id"].to_pylist(), dtype=object)
-        label, fixed = np.asarray(rows["label"].to_pylist(), dtype=object), np.asarray(rows["fixed"].to_pylist(), bool)
-        flat = np.asarray(rows["embedding"].combine_chunks().flatten(), np.float32).reshape(rows.num_rows, -1)
-        order = np.lexsort((chunk, -score))
-        score, chunk, label, fixed, flat = (a[order] for a in (score, chunk, label, fixed, flat))
-        _, where = np.unique(chunk.astype(str), return_index=True)  # a candidate that comes again counts once, with its highest score
-        x = unit(flat.astype(np.float64))
-        group = components(x, alike, label) if alike is not None else None
-        own = np.sort(where)
-        if len(own) < len(chunk):
-            if group is not None:  # copies are alike, so the best row of a group is still there
-                fixed = np.isin(chunk, chunk[fixed])
-                names, group = np.unique(group[own], return_inverse=True)
-                group = np.array([np.argmax(group == g) for g in range(len(names))])[group]
-            score, chunk, fixed, flat, x = (a[own] for a in (score, chunk, fixed, flat, x))
-        kept = core_set(x, group, size, fixed, block)
-        count = len(np.unique(group)) if group is not None else 0
-        if not last and parts > 1:
-            names = [f"{number}:{g}" for g in group[kept]] if group is not None else [None] * len(kept)
-            return [(query, number, parts, chunk[i], float(score[i]), size, g, bool(fixed[i]), flat[i].tolist(), False, count, 0.0) for i, g in zip(kept, names)]
-        own_x, own_group = x[kept], group[kept] if group is not None else None
-        chosen = search_groups(own_group, size) if group is not None else search_cosines(own_x, size)
-        distance = total_distance(own_x[chosen], own_group[chosen] if group is not None else None)
-        picked = set(kept[chosen].tolist())
-        out = kept if parts > 1 else kept[chosen]  # the core-set of a request of many parts may be needed again
-        names = [f"{number}:{g}" for g in group[out]] if group is not None else [None] * len(out)
-        vectors = [flat[i].tolist() for i in out] if parts > 1 else [None] * len(out)
-        return [(query, number, parts, chunk[i], float(score[i]), size, g, False, v, i in picked, count, distance) for i, g, v in zip(out, names, vectors)]
+def _chooser(alike: float | None, block: int):
+    """Arrow map over rows sorted by query_id and preference: the choice of every request."""
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS.values())], names=list(_KINDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts come one after the other; the last of a batch may go on in the next."""
-        rest: pa.Table | None = None
-        for batch in chain(batches, (None,)):
-            if batch is not None:
-                more = pa.Table.from_batches([batch])
-                rest = pa.concat_tables([rest, more]) if rest is not None else more
-            if rest is None or not rest.num_rows:
-                continue
-            ids = list(zip(rest["query_id"].to_pylist(), rest["part"].to_pylist()))
-            starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
-            ends = [*starts[1:], len(ids)]
-            if batch is not None:
-                starts, ends = starts[:-1], ends[:-1]
-            out = [row for s, e in zip(starts, ends) for row in one(rest.slice(s, e - s))]
-            rest = rest.slice(ends[-1]) if ends else rest
+        """Requests come one after the other; the last of a batch may go on in the next."""
+        request: _Request | None = None
+        for batch in batches:
+            ids, sizes = batch.column("query_id").to_pylist(), batch.column("subset_size").to_pylist()
+            starts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+            out: list[tuple] = []
+            for s, e in zip(starts, [*starts[1:], len(ids)]):
+                if request is None or request.query != ids[s]:
+                    out += request.choice(alike, block) if request else []
+                    request = _Request(ids[s], sizes[s])
+                request.add(batch.slice(s, e - s))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS.values())], names=list(_KINDS))
+                yield made(out)
+        if request:
+            yield made(request.choice(alike, block))
 
     return run
 
@@ -263,33 +281,6 @@ def eligible(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _reduced(rows: DataFrame, alike: float | None, block: int, last: bool = False) -> DataFrame:
-    together = rows.select(*_COLUMNS).repartition("query_id", "part").sortWithinPartitions("query_id", "part")
-    return together.mapInArrow(_reducer(alike, block, last), _OUT)
-
-
-def _to_the_root(cores: DataFrame, parts: int, alike: float | None, block: int) -> DataFrame:
-    """Core-sets put together ``FAN`` at a time, up to one per request, with its choice."""
-    while parts > 1:
-        parts = -(-parts // FAN)
-        up = cores.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
-        cores = cut_lineage(_reduced(up, alike, block, last=parts == 1))
-    return cores
-
-
-def _shares(large: DataFrame) -> DataFrame:
-    """Rows of requests for more than ``LARGE`` candidates with every part as a request of its own for its share of the places."""
-    by_part = large.groupBy("query_id", "part", "subset_size").agg(F.count_distinct("chunk_id").alias("here"))
-    up_to = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("query_id")
-    place = lambda c: F.floor(F.least("subset_size", F.sum("here").over(whole)) * c / F.sum("here").over(whole))
-    through = F.sum("here").over(up_to)
-    share = (place(through) - place(through - F.col("here"))).cast("int").alias("share")
-    shares = by_part.select("query_id", "part", share)
-    rows = large.join(shares, ["query_id", "part"]).filter("share > 0")
-    return rows.withColumn("subset_size", F.col("share")).withColumn("parts", F.lit(1)).drop("share")
-
-
 def select_varied(chunks: DataFrame, requests: DataFrame, alike: float | None = ALIKE, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, subset_size, groups, dispersion): the chosen candidates of each request.
 
@@ -297,39 +288,9 @@ def select_varied(chunks: DataFrame, requests: DataFrame, alike: float | None =
     are between groups; with None, distances are one minus the cosine. Fewer candidates than asked for are all
     chosen. Ties go to the higher score, then to the smaller chunk_id. Requests without candidates give no rows.
 
-    Every request goes through core-sets; one of at most ``block`` rows has a single part, whose groups are those
-    of all its rows. Of a larger one, links found between core-sets are true links, so its groups are right if
-    they are as many as asked for. Where they are more, every row of the request is compared with the last
-    core-set as well, and the core-sets are put together again. Groups of different parts that touch through no
-    row of a core-set stay apart. A request for more than ``LARGE`` candidates is answered part by part.
+    Groups and local search are those of all candidates of a request, whatever their number. ``block`` is how many
+    rows a slice is compared with at once and does not change the result.
     """
     rows = eligible(chunks, requests)
-    crowded = chunks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    crowded = crowded.select("query_id", F.ceil(F.col("n") / block).cast("int").alias("crowd"))
-    most = crowded.agg(F.max("crowd")).first()[0] or 1
-    fresh = {"label": F.lit(None).cast("string"), "fixed": F.lit(False)}
-    if most == 1:
-        return _reduced(rows.withColumns({"part": F.lit(0), "parts": F.lit(1), **fresh}), alike, block).select(*_RESULT)
-
-    rows = rows.join(crowded, "query_id", "left").withColumn("parts", F.coalesce("crowd", F.lit(1)))
-    rows = rows.withColumns({"part": F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"), **fresh})
-    small = _reduced(rows.filter("parts = 1"), alike, block).select(*_RESULT)
-    each = ["query_id", "part", "parts", "chunk_id", "subset_size", "label", "fixed"]
-    once = rows.filter("parts > 1").groupBy(*each).agg(F.max("score").alias("score"), F.first("embedding").alias("embedding"))
-    large, hot = once.filter(F.col("subset_size") > LARGE), once.filter(F.col("subset_size") <= LARGE)
-    sizes = requests.groupBy("query_id").agg(F.max("subset_size").alias("subset_size"))
-    shared = _reduced(_shares(large), alike, block).drop("subset_size").join(sizes, "query_id").select(*_RESULT)
-
-    root = _to_the_root(cut_lineage(_reduced(hot, alike, block)), most, alike, block)
-    chosen = root.filter("chosen").select(*_RESULT)
-    if alike is not None:
-        unsure = cut_lineage(root.filter(F.col("groups") > F.col("subset_size")).select("query_id").distinct())
-        if not unsure.isEmpty():
-            best = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "chunk_id")
-            kept = root.join(unsure, "query_id", "left_semi").withColumn("no", F.row_number().over(best))
-            sent = kept.filter(F.col("no") <= F.greatest(F.lit(1), F.floor(F.lit(block) / F.col("groups"))))
-            sent = sent.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "fixed": F.lit(True)})
-            again = hot.join(unsure, "query_id", "left_semi").select(*_COLUMNS).unionByName(sent.select(*_COLUMNS))
-            second = _to_the_root(cut_lineage(_reduced(again, alike, block)), most, alike, block)
-            chosen = chosen.join(unsure, "query_id", "left_anti").unionByName(second.filter("chosen").select(*_RESULT))
-    return small.unionByName(shared).unionByName(chosen)
+    together = rows.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "chunk_id", "embedding")
+    return together.mapInArrow(_chooser(alike, block), _OUT)

@@ -138,3 +138,32 @@ def test_copies_fill_a_request_above_the_block(spark):
     whole, blocks = (S.select_varied(df, requests, alike=None, block=b).collect() for b in (60, 25))
     assert len(whole) == len(blocks) == 20
     assert abs(whole[0].dispersion - blocks[0].dispersion) < 1e-6
+
+
+def test_the_size_of_a_block_does_not_change_the_choice(spark):
+    rng = np.random.default_rng(11)
+    x = np.pad(rng.normal(size=(700, 4)), ((0, 0), (0, 60))).astype(np.float32)
+    df = spark.createDataFrame([("q", f"c{i:03d}", i / 700, 0.0, [float(v) for v in x[i]]) for i in range(700)], CHUNKS)
+    requests = spark.createDataFrame([("q", 40)], "query_id string, subset_size int")
+    u = S.unit(x.astype(float))[::-1]  # in order of preference
+    reach = (u @ u.T >= 0.97).astype(np.float32)
+    for _ in range(10):
+        reach = (reach @ reach > 0).astype(np.float32)
+    group = reach.argmax(1)
+    for block in (50, 5000):
+        got = S.select_varied(df, requests, alike=0.97, block=block).collect()
+        assert {r.groups for r in got} == {len(set(group))}
+        assert {r.chunk_id for r in got} == {f"c{699 - i:03d}" for i in S.search_groups(group, 40)}
+    far, near = (S.select_varied(df, requests, alike=None, block=b).collect() for b in (50, 5000))
+    assert len(far) == 40 and sorted(map(tuple, far)) == sorted(map(tuple, near))
+
+
+def test_components_over_cells_against_a_matrix():
+    rng = np.random.default_rng(12)
+    crowds = np.linalg.qr(rng.normal(size=(16, 16)))[0][rng.integers(0, 9, 1500)] + 0.05 * rng.normal(size=(1500, 16))
+    for x in (S.unit(crowds), S.unit(np.concatenate([crowds[:700], rng.normal(size=(700, 16))])), S.unit(rng.normal(size=(1200, 5)))):
+        for alike in (0.5, 0.8, 0.95):
+            reach = (x @ x.T >= alike).astype(np.float32)
+            for _ in range(11):
+                reach = (reach @ reach > 0).astype(np.float32)
+            assert (S.components(x, alike, block=100) == reach.argmax(1)).all()
