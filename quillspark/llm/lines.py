@@ -24,7 +24,7 @@ LEAST_LETTERS = 4
 SIMILAR = 0.8
 #: Signature: BANDS bands of ROWS minimum hashes over shingles of SHINGLE characters.
 BANDS, ROWS, SHINGLE = 9, 5, 4
-#: Lines of a bucket that one task compares with each other; a fuller bucket is cut into parts, whose heads meet again.
+#: Lines of a bucket that come with the same number, which orders them; all parts of a bucket are compared with each other.
 PART = 2_000
 #: Rows of hashes that a join may send to every executor; a larger side is shuffled.
 SMALL_ROWS = 500_000
@@ -122,13 +122,27 @@ def lines(pages: DataFrame) -> DataFrame:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, k1): every band of every line, once for a line that a task meets again."""
-    seen: set[int] = set()
+    """(band, k1): every band of every masked text of a line, once for a text that a task meets again.
+
+    Lines of the same letters can differ in capitals and so in their names, and any of them may be the one that is compared.
+    """
+    seen: dict[int, int] = {}
+    more: set[tuple[int, int]] = set()
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        fresh, texts = [], []
+        for i, (key, line) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            text = masked(line)
+            known, new = seen.get(key), hash(text)
+            if known is None:
+                seen[key] = new
+            elif known == new or (key, new) in more:
+                continue
+            else:
+                more.add((key, new))
+            fresh.append(i)
+            texts.append(text)
         own = batch.take(pa.array(fresh, pa.int64()))
-        signed = signatures([masked(t) for t in own.column(2).to_pylist()]).reshape(own.num_rows, BANDS, ROWS)
+        signed = signatures(texts).reshape(own.num_rows, BANDS, ROWS)
         source = np.asarray(own.column(1)).view(np.uint64)
         bands = np.empty((own.num_rows, BANDS), np.int64)
         for b in range(BANDS):
@@ -166,26 +180,81 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, key = band[done:], key[done:]
 
 
-def _link(similar: float):
-    def near(x: frozenset[str], y: frozenset[str]) -> bool:
-        # sets whose sizes differ more than this cannot be similar enough
-        return min(len(x), len(y)) >= similar * max(len(x), len(y)) and overlap(x, y) >= similar
+class _Bucket:
+    """The lines of one bucket so far: heads, and for each head its members, which are all near it."""
+
+    def __init__(self, similar: float):
+        self.similar, self.apart = similar, 1 - similar + 1e-9
+        self.keys: dict[str, int] = {}  # of each masked text
+        self.heads: list[tuple[frozenset[str], int]] = []
+        self.members: list[list[tuple[float, str]]] = []  # (distance from the head, masked text)
+        self.radius: list[float] = []
+        self.root: list[int] = []  # heads that are connected lead to the same one
+
+    def top(self, head: int) -> int:
+        while self.root[head] != head:
+            self.root[head] = head = self.root[self.root[head]]
+        return head
 
+    def add(self, text: str, key: int) -> list[int]:
+        """Keys of earlier lines the text is near: one of every group of connected lines that holds any.
+
+        1 - Jaccard is a metric, so lines near a member are not farther from its head than ``apart`` and the
+        head's radius together, and only members about as far from the head as the text can be near it.
+        """
+        if text in self.keys:
+            return [self.keys[text]]
+        self.keys[text] = key
+        own = shingles(text)
+        at, home, found, maybe = None, None, [], []
+        for h, (head, other) in enumerate(self.heads):
+            if at is not None and self.top(h) == self.top(at):
+                continue
+            if min(len(own), len(head)) < (1 - 2 * self.apart) * max(len(own), len(head)):
+                continue
+            near = overlap(own, head)
+            if near >= self.similar:
+                found.append(other)
+                if at is None:
+                    at, home = h, 1 - near
+                else:
+                    self.root[self.top(h)] = self.top(at)
+            elif 1 - near <= self.apart + self.radius[h]:
+                maybe.append((h, 1 - near))
+        if at is None:  # a head of its own
+            at = len(self.heads)
+            self.heads.append((own, key))
+            self.members.append([])
+            self.radius.append(0.0)
+            self.root.append(at)
+        else:
+            self.members[at].append((home, text))
+            self.radius[at] = max(self.radius[at], home)
+        for h, distance in maybe:
+            if self.top(h) == self.top(at):
+                continue
+            for far, member in self.members[h]:
+                if abs(distance - far) <= self.apart and overlap(own, shingles(member)) >= self.similar:
+                    found.append(self.keys[member])
+                    self.root[self.top(h)] = self.top(at)
+                    break
+        return found
+
+
+def _link(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets come one after the other: (a, b) for a line and every head it is near, (a, null) for a head.
+        """Buckets come one after the other: (a, b) for a line and the earlier ones it is near, (a, null) for a line near none.
 
-        A line near no head is linked to the first member it is near, and is a head if it is unlike them all.
+        No two lines of a bucket that are near each other are left unconnected, whatever parts they are in; a link
+        is left out only where others connect its lines.
         """
-        bucket, heads, members = None, [], []
+        bucket, held = None, _Bucket(similar)
         for batch in batches:
             out: list[tuple[int, int, int | None]] = []
-            for band, part, key, line in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band, part) != bucket:
-                    bucket, heads, members = (band, part), [], []
-                own = shingles(masked(line))
-                found = [h for x, h in heads if near(own, x)] or [m for x, m in members if near(own, x)][:1]
-                out += [(band, key, other) for other in found] or [(band, key, None)]
-                (members if found else heads).append((own, key))
+            for band, _, key, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if band != bucket:
+                    bucket, held = band, _Bucket(similar)
+                out += [(band, key, other) for other in held.add(masked(line), key)] or [(band, key, None)]
             columns = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["band", "a", "b"])
 
@@ -237,14 +306,8 @@ def links(pages: DataFrame, places: DataFrame, similar: float) -> DataFrame:
         .agg(F.min("line").alias("line"))
     )
     full = met.join(texts, "k1").select("band", "part", "k1", "line")
-    in_parts = lambda df: df.repartition("band", "part").sortWithinPartitions("band", "part", "k1")
-    found = cut_lineage(in_parts(full).mapInArrow(_link(similar), "band long, a long, b long"))
-    pairs = found.filter("b IS NOT NULL")
-    if not met.filter("part > 0").isEmpty():  # heads of the parts of one bucket
-        heads = found.filter("b IS NULL").select("band", F.col("a").alias("k1")).join(met.filter("part > 0").select("band").distinct(), "band", "left_semi")
-        again = heads.join(texts, "k1").select("band", F.lit(0).cast("long").alias("part"), "k1", "line")
-        pairs = pairs.union(in_parts(again).mapInArrow(_link(similar), "band long, a long, b long").filter("b IS NOT NULL"))
-    return pairs.select("a", "b")
+    together = full.repartition("band").sortWithinPartitions("band", "part", "k1")
+    return cut_lineage(together.mapInArrow(_link(similar), "band long, a long, b long").filter("b IS NOT NULL").select("a", "b"))
 
 
 def repeated_near(pages: DataFrame, least: int = LEAST_PAGES, similar: float = SIMILAR) -> DataFrame:

@@ -186,3 +186,58 @@ def test_heads_are_followed_to_their_own_head(spark):
         page += pages
     near = L.repeated_near(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(near) == 23 and {r.cluster_pages for r in near} == {23}
+
+
+def linked(rows, similar, size=7):
+    """Groups of keys that the links of one bucket connect."""
+    group = {k: {k} for k, _ in rows}
+    table = pa.table({"band": [1] * len(rows), "part": [i // 2 for i in range(len(rows))], "k1": [k for k, _ in rows], "line": [t for _, t in rows]})
+    for batch in L._link(similar)(iter(table.to_batches(size))):
+        for r in batch.to_pylist():
+            if r["b"] is not None:
+                joined = group[r["a"]] | group[r["b"]]
+                for k in joined:
+                    group[k] = joined
+    return {frozenset(g) for g in group.values()}
+
+
+def test_members_of_different_heads_are_linked():
+    # a - c - d - b is a chain; a and b come first and are heads, c is near a only and d near b only
+    rng = random.Random(9)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]]
+    for i in range(3):
+        words.append([w[:3] + "é" + w[4:] if n in (3 * i, 3 * i + 1) else w for n, w in enumerate(words[-1])])
+    a, c, d, b = (" ".join(w) for w in words)
+    near = lambda x, y: L.similarity(L.masked(x), L.masked(y)) >= L.SIMILAR
+    assert near(a, c) and near(c, d) and near(d, b) and not (near(a, b) or near(a, d) or near(c, b))
+    assert linked([(1, a), (2, b), (3, c), (4, d)], L.SIMILAR) == {frozenset({1, 2, 3, 4})}
+
+
+def test_links_of_a_bucket_against_all_pairs():
+    rng = random.Random(10)
+    for n in range(60):
+        letters, similar = "abcdefghijklmnopqrstuvwxyz"[: rng.choice([4, 26])], rng.choice([0.4, 0.6, 0.8])
+        texts = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(3)]
+        while len(texts) < 60:
+            t = list(rng.choice(texts))
+            for _ in range(rng.randint(1, 3)):
+                t[rng.randrange(len(t))] = rng.choice(letters)
+            texts.append("".join(t)[rng.randint(0, 1) :])
+        rng.shuffle(texts)
+        rows = list(enumerate(texts))
+        want = {k: {k} for k, _ in rows}
+        for i, x in rows:
+            for j, y in rows[:i]:
+                if L.similarity(x, y) >= similar:
+                    joined = want[i] | want[j]
+                    for k in joined:
+                        want[k] = joined
+        assert linked(rows, similar) == {frozenset(g) for g in want.values()}
+
+
+def test_every_form_of_a_line_is_signed():
+    forms = ["approved by alice", "approved by Alice", "approved by alice"]
+    batch = pa.record_batch({"k1": [7] * 3, "s": [1] * 3, "line": forms})
+    bands = [r["band"] for b in L._sign(iter([batch, batch])) for r in b.to_pylist()]
+    alone = [{r["band"] for b in L._sign(iter([pa.record_batch({"k1": [7], "s": [1], "line": [f]})])) for r in b.to_pylist()} for f in forms[:2]]
+    assert alone[0] != alone[1] and set(bands) == alone[0] | alone[1] and len(bands) == 2 * L.BANDS
