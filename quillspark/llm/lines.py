@@ -26,6 +26,8 @@ SIMILAR = 0.8
 BANDS, ROWS, SHINGLE = 9, 5, 4
 #: Lines of a bucket that come with the same number, which orders them; all parts of a bucket are compared with each other.
 PART = 2_000
+#: Texts signed at once, few enough for their shingles to stay in the processor's cache.
+TOGETHER = 500
 #: Rows of hashes that a join may send to every executor; a larger side is shuffled.
 SMALL_ROWS = 500_000
 
@@ -35,7 +37,7 @@ _MULTIPLY = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 _NAME = re.compile(r"(?<=[^\W_][ ,;:(]) *[^\W\d_a-zß-öø-ÿ][^\W\d_]+")
-_OTHER = re.compile(r"[\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def masked(line: str) -> str:
@@ -47,14 +49,18 @@ def masked(line: str) -> str:
     low = line.lower()
     if low[1:] != line[1:]:  # else there is no name
         low = _NAME.sub("ª", line).lower()
-    return _OTHER.sub("", low)
+    return "".join(_LETTERS.findall(low))
 
 
 def signatures(texts: list[str]) -> np.ndarray:
     """MinHash of each text as (texts, BANDS * ROWS) 32-bit values; texts shorter than a shingle are one shingle."""
     out = np.empty((len(texts), BANDS * ROWS), np.uint32)
-    if not texts:
-        return out
+    for at in range(0, len(texts), TOGETHER):
+        _minima(texts[at : at + TOGETHER], out[at : at + TOGETHER])
+    return out
+
+
+def _minima(texts: list[str], out: np.ndarray) -> None:
     padded = [t.ljust(SHINGLE, "\0") for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
@@ -78,7 +84,6 @@ def signatures(texts: list[str]) -> np.ndarray:
         np.multiply(own, _MULTIPLY[k], out=mixed)
         mixed += _ADD[k]
         out[:, k] = np.minimum.reduceat(mixed, first)
-    return out
 
 
 def shingles(text: str) -> frozenset[str]:
@@ -108,12 +113,13 @@ def lines(pages: DataFrame) -> DataFrame:
     64-bit hashes of the source and the line's letters (Unicode letters, lower-cased). Lines with fewer than
     ``LEAST_LETTERS`` letters do not count. A null source is a source of its own.
     """
-    letters = F.regexp_replace(F.lower("line"), r"\P{L}+", "")
+    # within the exploded arrays, so that the letters are not worked out for the filter and for the keys again
+    both = lambda line: F.struct(line.alias("line"), F.regexp_replace(F.lower(line), r"\P{L}+", "").alias("letters"))
     return (
         pages.select("source", "page_number", F.posexplode("blocks").alias("block_no", "block"))
         .filter(F.col("block").isNotNull())
-        .select("source", "page_number", "block_no", F.posexplode(F.split("block", "\n", -1)).alias("line_no", "line"))
-        .withColumn("letters", letters)
+        .select("source", "page_number", "block_no", F.posexplode(F.transform(F.split("block", "\n", -1), both)).alias("line_no", "at"))
+        .select("source", "page_number", "block_no", "line_no", "at.line", "at.letters")
         .filter(F.length("letters") >= LEAST_LETTERS)
         .withColumn("k1", F.xxhash64("source", "letters"))
         .withColumn("k2", F.xxhash64("letters", F.lit(1), "source"))
